@@ -5,7 +5,10 @@ from __future__ import annotations
 from tracelake.llm import queries as q
 from tracelake.llm import sql
 
-_NAMES = ["op2_simhash_near_dedup"]
+_NAMES = [
+    "op2_simhash_near_dedup",
+    "op10_byte_bpe",
+]
 
 
 def queries() -> dict:
