@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, simhash
+from tracelake.llm import bpe, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's token ids and read start, length and checksum of each back from the files."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    docs, folder = _table(spark, sf_dir, "documents"), token_files.new_folder(spark)
+    token_files.write_token_files(docs, folder, lambda: token_files.file_tokenizer(path, pattern), end_id=0)
+    return token_files.read_documents(spark, folder, docs.schema["doc_id"].dataType.simpleString())
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of what they decode to, for every document."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

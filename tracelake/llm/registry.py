@@ -7,6 +7,7 @@ from tracelake.llm import sql
 
 _NAMES = [
     "op2_simhash_near_dedup",
+    "op6_token_files",
     "op10_byte_bpe",
 ]
 
