@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, simhash, token_files
+from tracelake.llm import bpe, quality, simhash, token_files, toxicity
+from tracelake.llm.labelled import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a fifth of the ids is held out."""
+    docs, held_out = _table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the ids is held out."""
+    docs, held_out = _table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of what they decode to, for every document."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -8,6 +8,8 @@ from tracelake.llm import sql
 _NAMES = [
     "op2_simhash_near_dedup",
     "op6_token_files",
+    "op7_toxicity",
+    "op9_quality_knn",
     "op10_byte_bpe",
 ]
 
