@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, quality, simhash, token_files, toxicity
+from tracelake.llm import bpe, line_dedup, quality, simhash, token_files, toxicity
 from tracelake.llm.labelled import fold
 
 
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its cross-site boilerplate lines."""
+    out = line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     out = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from tracelake.llm import queries as q
 from tracelake.llm import sql
 
 _NAMES = [
+    "op1_line_dedup",
     "op2_simhash_near_dedup",
     "op6_token_files",
     "op7_toxicity",

@@ -2,4 +2,25 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+#: Documents with the lines gone that have three words or more and are on ten sources or more, except where seen first.
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, source, generate_subscripts(parts, 1) AS at, unnest(parts) AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM {docs})
+), content AS (
+  SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS words FROM lines
+), boilerplate AS (
+  SELECT words, min(doc_id) AS first_id FROM content
+  WHERE regexp_matches(words, '^(?:\S+\s+){{2}}\S')
+  GROUP BY words HAVING count(DISTINCT coalesce(source, chr(1))) >= 10
+)
+SELECT c.doc_id, count(*) AS n_lines,
+  count(*) FILTER (WHERE b.words IS NOT NULL AND c.doc_id <> b.first_id) AS n_removed,
+  coalesce(string_agg(c.line, chr(10) ORDER BY c.at) FILTER (WHERE b.words IS NULL OR c.doc_id = b.first_id), '') AS text
+FROM content c LEFT JOIN boilerplate b ON c.words = b.words
+GROUP BY c.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP.format(docs="documents"),
+}
