@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, line_dedup, quality, simhash, token_files, toxicity
+from tracelake.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files, toxicity
 from tracelake.llm.labelled import fold
 
 
@@ -26,6 +26,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is benchmark text, and of how many items."""
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.drop("th")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's token ids and read start, length and checksum of each back from the files."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN

@@ -21,6 +21,23 @@ FROM content c LEFT JOIN boilerplate b ON c.words = b.words
 GROUP BY c.doc_id
 """
 
+#: Words of documents inside any occurrence of a window of ten benchmark words (or all, of a shorter item).
+_WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+DECONTAMINATION = """
+WITH d AS (SELECT doc_id, coalesce(WORDS, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS n FROM (SELECT item_id, WORDS AS w FROM benchmark) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM b)),
+sizes AS (SELECT DISTINCT n FROM wins),
+grams AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes)),
+occurs AS (SELECT doc_id, item, s, n FROM grams JOIN wins USING (n, phrase)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occurs) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occurs) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""".replace("WORDS", _WORDS)
+
 ORACLE: dict[str, str] = {
+    "op5_decontamination": DECONTAMINATION,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents"),
 }
