@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files, toxicity
+from tracelake.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files, toxicity, warc
 from tracelake.llm.labelled import fold
 
 
@@ -47,6 +47,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an ARC record, converted to WARC and read back."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages"), spark)
+
+
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; a quarter of the ids is held out."""
     docs, held_out = _table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2

@@ -11,6 +11,7 @@ _NAMES = [
     "op5_decontamination",
     "op6_token_files",
     "op7_toxicity",
+    "op8_arc_to_warc",
     "op9_quality_knn",
     "op10_byte_bpe",
 ]

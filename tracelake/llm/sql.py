@@ -37,7 +37,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """.replace("WORDS", _WORDS)
 
+#: One response for equal payloads of 1000 bytes or more, that of the largest page_id.
+ARC_TO_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS target FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> target THEN target END AS refers_to
+FROM r
+"""
+
 ORACLE: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
+    "op8_arc_to_warc": ARC_TO_WARC,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents"),
 }
