@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files, toxicity, warc
+from tracelake.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files, toxicity, url_lists, warc
 from tracelake.llm.labelled import fold
 
 
@@ -26,6 +26,42 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Dates of the captures and of the list entries, which ``pages`` lacks: days after this one.
+_FIRST_DAY = "2023-01-01"
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time made from the page id: a day within two years."""
+    day = F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int")
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.date_add(F.lit(_FIRST_DAY).cast("date"), day).cast("timestamp").alias("fetched_at"))
+
+
+def _list_entries(captures: DataFrame) -> DataFrame:
+    """Dated entries for hosts and for host/language prefixes, made from the URLs themselves: each seventh
+    host (by length and first letters) is added to 'hosts' and later removed and added again, each prefix
+    whose second-level name has an even length is on 'sections' for some months."""
+    parts = captures.select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)", 1).alias("top")).where("host <> ''").distinct()
+    name = F.regexp_extract("host", r"([^.]+)\.example", 1)
+    mark = F.ascii(F.substring(name, -1, 1)) + F.length("host")
+    day = lambda n: F.date_add(F.lit(_FIRST_DAY).cast("date"), n.cast("int")).cast("timestamp")
+    entry = lambda kind, pattern, action, n: F.struct(F.lit(kind).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("effective_at"))
+    start = F.pmod(mark * 31, F.lit(300))
+    hosts = parts.select("host").distinct().where(F.pmod(mark, F.lit(7)) < 2).select(
+        F.explode(F.array(entry("hosts", F.col("host"), "add", start), entry("hosts", F.col("host"), "remove", start + 90), entry("hosts", F.col("host"), "add", start + 240))).alias("e")
+    )
+    section = F.concat("host", F.lit("/"), "top")
+    sections = parts.where((F.col("top") != "") & (F.pmod(F.length(name), F.lit(2)) == 0)).select(
+        F.explode(F.array(entry("sections", section, "add", start + 60), entry("sections", section, "remove", start + 400))).alias("e")
+    )
+    return hosts.unionByName(sections).select("e.*")
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries that were active when it was fetched."""
+    captures = _captures(spark, sf_dir)
+    return url_lists.listed_captures(captures, _list_entries(captures)).withColumnRenamed("id", "page_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document is benchmark text, and of how many items."""
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -47,8 +47,40 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
 FROM r
 """
 
+#: Captures and entries as the query makes them; an entry holds from its add to the next remove.
+URL_LISTS = r"""
+WITH c AS (
+  SELECT page_id, url, CAST(DATE '2023-01-01' + CAST((page_id * 7919) % 730 AS INTEGER) AS TIMESTAMP) AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segments
+  FROM pages
+), parts AS (
+  SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS top
+  FROM pages WHERE regexp_extract(url, '^https?://([^/]+)', 1) <> ''
+), named AS (SELECT *, regexp_extract(host, '([^.]+)\.example', 1) AS name FROM parts),
+marked AS (SELECT *, ascii(right(name, 1)) + length(host) AS mark FROM named),
+started AS (SELECT *, (mark * 31) % 300 AS start FROM marked),
+spans AS (
+  SELECT DISTINCT 'hosts' AS list, host AS pattern, start + d AS lo, hi FROM started, (VALUES (0, 90), (240, NULL)) v(d, h), LATERAL (SELECT start + h AS hi) WHERE mark % 7 < 2
+  UNION SELECT 'sections', host || '/' || top, start + 60, start + 400 FROM started WHERE top <> '' AND length(name) % 2 = 0
+), asked AS (
+  SELECT page_id, fetched_at, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[-k:], '.')),
+    list_transform(range(1, len(segments) + 1), lambda k: host || '/' || array_to_string(segments[1:k], '/')))) AS pattern
+  FROM c
+), met AS (
+  SELECT page_id, count(DISTINCT (list, pattern)) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+  FROM asked JOIN spans USING (pattern)
+  WHERE fetched_at >= TIMESTAMP '2023-01-01' + to_days(CAST(lo AS INTEGER)) AND (hi IS NULL OR fetched_at < TIMESTAMP '2023-01-01' + to_days(CAST(hi AS INTEGER)))
+  GROUP BY page_id
+)
+SELECT page_id, host, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, coalesce(lists, '') AS lists
+FROM c LEFT JOIN met USING (page_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op8_arc_to_warc": ARC_TO_WARC,
+    "op4_url_lists": URL_LISTS,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents"),
 }
