@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files, toxicity, url_lists, warc
+from tracelake.llm import bpe, decontaminate, embedding_dedup, line_dedup, quality, simhash, token_files, toxicity, url_lists, warc
 from tracelake.llm.labelled import fold
 
 
@@ -26,6 +26,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding at cosine 0.95."""
+    return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 #: Dates of the captures and of the list entries, which ``pages`` lacks: days after this one.
 _FIRST_DAY = "2023-01-01"
 

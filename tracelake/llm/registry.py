@@ -8,6 +8,7 @@ from tracelake.llm import sql
 _NAMES = [
     "op1_line_dedup",
     "op2_simhash_near_dedup",
+    "op3_embedding_near_dedup",
     "op4_url_lists",
     "op5_decontamination",
     "op6_token_files",

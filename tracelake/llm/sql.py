@@ -78,9 +78,24 @@ SELECT page_id, host, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) A
 FROM c LEFT JOIN met USING (page_id)
 """
 
+#: Components over all pairs at cosine 0.95 or more; vectors without a direction link with nothing.
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+"""
+
 ORACLE: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op8_arc_to_warc": ARC_TO_WARC,
     "op4_url_lists": URL_LISTS,
+    "op3_embedding_near_dedup": EMBEDDINGS,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents"),
 }
