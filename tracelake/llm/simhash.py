@@ -195,7 +195,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     )
     single = first.where((F.col("__n") == 1) & F.col("__id").isNotNull()).select("__id")
     several = first.where((F.col("__n") > 1) | F.col("__id").isNull()).select("__id")
-    kept = docs.join(single, docs[id_col] == F.col("__id"), "left_semi")
+    # The ids kept grow with the corpus, so they are merged at every size.
+    kept = docs.join(single.hint("merge"), docs[id_col] == F.col("__id"), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
     again = (
         docs.join(several, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
