@@ -40,19 +40,19 @@ def first_rollout(t: Tables) -> DataFrame:
     return win.one_per_key(_rollouts(t), "user_id", "rollout_idx_0", "value", "passed", "event_id").select("user_id", "event_id")
 
 
-_TURNS = f"turns AS (SELECT l_orderkey, l_quantity / 50.0 AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}, l_quantity) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
+_TURNS = f"turns AS (SELECT l_orderkey, l_quantity AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}, l_quantity) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
 
 
-@query(f"""WITH {_TURNS} SELECT a.l_orderkey, a.k AS turn, round(sum(b.r * power(0.9, b.k - a.k)) + 0.5 * power(0.9, a.n - a.k + 1) * a.n, 6) AS g
+@query(f"""WITH {_TURNS} SELECT a.l_orderkey, a.k AS turn, sum(b.r * power(0.5, b.k - a.k)) + 0.5 * power(0.5, a.n - a.k + 1) * a.n AS g
 FROM turns a JOIN turns b ON a.l_orderkey = b.l_orderkey AND b.k >= a.k GROUP BY a.l_orderkey, a.k, a.n""")
 def discounted_returns(t: Tables) -> DataFrame:
-    """Discounted suffix sums of turn rewards with a weighted final one."""
+    """Suffix sums of turn rewards, halved at each step so that they are exact, with a weighted final one."""
     turns = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "l_quantity")))
-    rewards = F.transform(F.col("turns"), lambda x: x["l_quantity"] / 50.0)
+    rewards = F.transform(F.col("turns"), lambda x: x["l_quantity"])
     whole = t.lineitem.groupBy("l_orderkey").agg(turns.alias("turns"))
-    g = scoring.suffix_returns(rewards, 0.9, F.size("turns").cast("double"), 0.5)
+    g = scoring.suffix_returns(rewards, 0.5, F.size("turns").cast("double"), 0.5)
     flat = whole.select("l_orderkey", F.posexplode(g).alias("pos", "g"))
-    return flat.select("l_orderkey", (F.col("pos") + 1).cast("long").alias("turn"), F.round("g", 6).alias("g"))
+    return flat.select("l_orderkey", (F.col("pos") + 1).cast("long").alias("turn"), "g")
 
 
 _ADV = f"""{_TURNS}, j AS (SELECT o_custkey, turns.* FROM turns JOIN orders ON o_orderkey = l_orderkey),
@@ -61,7 +61,7 @@ m AS (SELECT *, avg(r) OVER w AS mu, stddev_pop(r) OVER w AS sd, count(*) OVER w
 
 def _positions(t: Tables) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER, "l_quantity"))
-    turns = t.lineitem.select("l_orderkey", (F.col("l_quantity") / 50.0).alias("r"), turn.cast("long").alias("turn"))
+    turns = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("r"), turn.cast("long").alias("turn"))
     return win.position_advantage(turns.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"), ["o_custkey", "turn"], "r")
 
 
