@@ -100,7 +100,9 @@ def remove_boilerplate(
         seen = seen.where(~F.col("id").eqNullSafe(F.col("first_id")))
     # Whether a line goes depends on its content and the id alone, so a set of keys by id is enough.
     drops = materialize(seen.groupBy("id").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("id", "__id"), "line_drops")
-    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    # Merged at every size: the set grows with the corpus, and a plan that broadcasts it while it is small
+    # says nothing of how the join behaves later.
+    joined = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
     lines = _lines(F.col(text_col))
     gone = lambda x: _eligible(_content(x), min_words) & F.array_contains(F.col("__drop"), _key(_content(x)))
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
