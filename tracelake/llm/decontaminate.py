@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.text import ascii_lower
+from tracelake.llm.text import ascii_lower, unused
 from tracelake.storage import materialize
 
 WINDOW = 10
@@ -168,6 +168,7 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs; columns unchanged."""
     matches = phrase_matches(docs, benchmark, window, id_col, text_col, item_col)
-    bad = materialize(matches.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "decon_bad")
-    hit = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th"))
+    bad_id, bad_text = unused(docs, "bad_id"), unused(docs, "bad_text")
+    bad = materialize(matches.select(F.col("id").alias(bad_id), F.col("th").alias(bad_text)).distinct(), "decon_bad")
+    hit = docs[id_col].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text_col]) == F.col(bad_text))
     return docs.join(_few(bad, _SMALL_ROWS), hit, "left_anti")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.text import unused
 from tracelake.storage import materialize
 
 #: Rows of two longs and a document id; a table up to this many is small enough to broadcast (32 MB).
@@ -84,7 +85,7 @@ def remove_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with boilerplate lines gone from ``text_col``, and ``n_lines`` and ``n_removed`` added.
+    """``docs`` with boilerplate lines gone from ``text_col``, and ``n_lines`` and ``n_removed`` added or replaced.
 
     A line is what stands between line feeds; it is boilerplate if its content, without white space
     around it, has ``min_words`` words or more and occurs on ``min_sites`` distinct values of
@@ -99,15 +100,16 @@ def remove_boilerplate(
     if keep_first:
         seen = seen.where(~F.col("id").eqNullSafe(F.col("first_id")))
     # Whether a line goes depends on its content and the id alone, so a set of keys by id is enough.
-    drops = materialize(seen.groupBy("id").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("id", "__id"), "line_drops")
+    own, drop = unused(docs, "drop_id"), unused(docs, "drop_keys")
+    drops = materialize(seen.groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(drop)), "line_drops")
     # Merged at every size: the set grows with the corpus, and a plan that broadcasts it while it is small
     # says nothing of how the join behaves later.
-    joined = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(F.col(own)), "left")
     lines = _lines(F.col(text_col))
-    gone = lambda x: _eligible(_content(x), min_words) & F.array_contains(F.col("__drop"), _key(_content(x)))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    gone = lambda x: _eligible(_content(x), min_words) & F.array_contains(F.col(drop), _key(_content(x)))
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_kept = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(kept)).cast("long")
-    others = [F.col(c) for c in docs.columns if c != text_col]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     return joined.select(*others, text.alias(text_col), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm.text import unused
 from tracelake.operators.components import connected_components
 from tracelake.storage import materialize
 
@@ -189,17 +190,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     smallest text stays (null first).  A row with a null id stays only if its class has no other id.
     """
     chosen = near_duplicate_classes(docs.select(id_col, text_col), id_col, text_col, **options)
+    kept_id, rank = unused(docs, "kept_id"), unused(docs, "rank")
     first = materialize(
-        chosen.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")),
+        chosen.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(kept_id)).agg(F.count("*").alias("n_rows")),
         "simhash_kept",
     )
-    single = first.where((F.col("__n") == 1) & F.col("__id").isNotNull()).select("__id")
-    several = first.where((F.col("__n") > 1) | F.col("__id").isNull()).select("__id")
+    alone = (F.col("n_rows") == 1) & F.col(kept_id).isNotNull()
     # The ids kept grow with the corpus, so they are merged at every size.
-    kept = docs.join(single.hint("merge"), docs[id_col] == F.col("__id"), "left_semi")
+    single = first.where(alone).select(kept_id).hint("merge")
+    kept = docs.join(single, docs[id_col] == F.col(kept_id), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
     again = (
-        docs.join(several, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-        .withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") == 1).drop("__rank")
+        docs.join(first.where(~alone).select(kept_id), docs[id_col].eqNullSafe(F.col(kept_id)), "left_semi")
+        .withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
     )
     return kept.unionByName(again)
