@@ -56,3 +56,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_diversity_cap_is_the_sequential_rule(spark, sf):
+    counts, want = {}, []
+    for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
+        own = counts.setdefault(r.user_id, {})
+        n = sum(own.values())
+        if n < 10 or (own.get(r.event_type, 0) + 1) / (n + 1) <= 0.3:
+            own[r.event_type] = own.get(r.event_type, 0) + 1
+            want.append(r.event_id)
+    assert sorted(r.event_id for r in registry.QUERIES["stream_diversity_cap"](spark, sf).collect()) == want
