@@ -20,6 +20,11 @@ def _apart(piece: str) -> bool:
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
 
+def _plain(word: str) -> bool:
+    """Letters only, of scripts whose letters every Unicode version agrees on."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class PieceEncoder:
     """Packed token ids of whole texts.
 
@@ -45,12 +50,20 @@ class PieceEncoder:
         new: set[str] = set()
         for text in texts:
             new.update((text or "").split(" "))
-        split = {p: self._matches(" " + p) for p in new if p not in self._of_piece and _apart(p)}
+        split = {p: self._split(p) for p in new if p not in self._of_piece and _apart(p)}
         unseen = sorted({m for found in split.values() for m in found if m not in self._of_match})
         self._of_match.update(zip(unseen, self._encode_matches(unseen), strict=True))
         known = self._of_match.__getitem__
         self._of_piece.update((p, b"".join(map(known, found))) for p, found in split.items())
 
+    def _split(self, piece: str) -> list[str]:
+        """Matches of a piece and the space before it: a word, perhaps with a comma or full stop, needs no pattern."""
+        if _plain(piece):
+            return [" " + piece]
+        if piece[-1] in ".," and _plain(piece[:-1]):
+            return [" " + piece[:-1], piece[-1]]
+        return self._matches(" " + piece)
+
     def _whole(self, text: str) -> bytes:
         found = self._matches(text)
         unseen = sorted({m for m in found if m not in self._of_match})

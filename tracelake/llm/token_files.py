@@ -22,6 +22,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from tracelake.storage import new_path
 
 MANIFEST = "shard int, path string, dtype string, n_docs long, n_tokens long"
 _BATCH = 2048
+#: Pieces and matches that a worker remembers, about 250 MB of them.
+_REMEMBERED = 1_500_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -65,13 +68,17 @@ class FileTokenizer:
         self._letters = _byte_letters()
         n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if n_ids <= 1 << 16 else "<u4"
-        self.encode_packed = PieceEncoder(regex.compile(pattern).findall, self._encode_matches)
+        self.encode_packed = PieceEncoder(regex.compile(pattern).findall, self._encode_matches, _REMEMBERED)
 
     def _encode_matches(self, matches) -> Iterator[bytes]:
-        model = self.tokenizer.model
+        tokenize, table, code = self.tokenizer.model.tokenize, self._letters, "H" if self.dtype == "<u2" else "I"
+        space = chr(table[ord(" ")])
         for m in matches:
-            letters = m.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
-            yield np.array([t.id for t in model.tokenize(letters)], dtype=self.dtype).tobytes()
+            if m.isascii() and m[1:].isalnum() and m[0] == " ":
+                letters = space + m[1:]  # letters and digits stand for themselves
+            else:
+                letters = m.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
+            yield array(code, [t.id for t in tokenize(letters)]).tobytes()
 
 
 @functools.lru_cache(maxsize=4)
@@ -97,7 +104,7 @@ def write_token_files(
     spark = docs.sparkSession
     ordered = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-        .repartitionByRange("id", "text")
+        .repartitionByRange("id")  # its sample goes to the driver, so no texts in it
         .sortWithinPartitions("id", "text")
     )
 
