@@ -16,7 +16,6 @@ import base64
 import datetime
 import gzip
 import hashlib
-import io
 import uuid
 from collections.abc import Iterator
 
@@ -139,7 +138,7 @@ def _file(folder: str, suffix: str) -> tuple:
 
 
 def write_arcs(pages: DataFrame, folder: str, version: str = "2", date: str = "20240101000000", max_bytes: int = 1 << 28) -> DataFrame:
-    """Write (key, url, payload) rows as ARC files of up to about ``max_bytes``; returns (path, records).
+    """Write (key, url, payload) rows as ARC files, each record a gzip member, of up to about ``max_bytes`` of content; returns (path, records).
 
     The key travels in the URL's fragment, which a crawler never sends.  Null urls and payloads are empty.
     """
@@ -155,11 +154,13 @@ def write_arcs(pages: DataFrame, folder: str, version: str = "2", date: str = "2
                     out.append((path, count))
                     sink = None
                 if sink is None:
-                    fs, path, name = _file(folder, ".arc")
+                    fs, path, name = _file(folder, ".arc.gz")
                     sink, count = fs.open_output_stream(path, compression=None), 0
-                    sink.write(head := arc_file_header(version, name, date))
+                    head = arc_file_header(version, name, date)
+                    sink.write(gzip.compress(head, _LEVEL, mtime=0))
                     size = len(head)
-                sink.write(record := arc_record(version, f"{url}#key={'' if key is None else key}", date, payload, name=name, offset=size))
+                record = arc_record(version, f"{url}#key={'' if key is None else key}", date, payload, name=name, offset=size)
+                sink.write(gzip.compress(record, _LEVEL, mtime=0))
                 size, count = size + len(record), count + 1
         if sink is not None:
             sink.close()
@@ -187,7 +188,7 @@ def index_arcs(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_stream(path, compression=None) as raw:
-                    rows = [(path, _key_of(f)[1] or None, len(c), hashlib.sha1(c).hexdigest()) for f, c in read_arc(io.BufferedReader(raw))]
+                    rows = [(path, _key_of(f)[1] or None, len(c), hashlib.sha1(c).hexdigest()) for f, c in read_arc(gzip.open(raw))]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)] if rows else []
                 if columns:
                     yield pa.RecordBatch.from_arrays(columns, ["path", "key", "bytes", "sha1"])
@@ -219,7 +220,7 @@ def convert(files: DataFrame, folder: str, key_type: str = "long", min_revisit:
                 count = 0
                 with fs.open_input_stream(path, compression=None) as raw, fs.open_output_stream(out_path, compression=None) as sink:
                     sink.write(warc_record("warcinfo", {"WARC-Record-ID": record_id(name, "", "", ""), "WARC-Date": warc_date(""), "WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"software: tracelake\r\n"))
-                    for fields, content in read_arc(io.BufferedReader(raw)):
+                    for fields, content in read_arc(gzip.open(raw)):
                         url, key = _key_of(fields)
                         digest, date = _digest(content), warc_date(fields["Archive-date"])
                         refers = target_of.get((key, hashlib.sha1(content).hexdigest()))
