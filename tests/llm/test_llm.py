@@ -192,6 +192,16 @@ def test_url_list_intervals(spark):
     assert url_lists.listed_captures(captures, table.where("false")).where("blocked").count() == 0
 
 
+def test_url_lists_have_no_depth_limit(spark):
+    host, path = ".".join("abcdefghijk") + ".com", "/".join("0123456789")
+    patterns = [host, "k.com", "com", "ok.com/" + path, "ok.com/" + path + "/last", host.replace("a.", "z.", 1)]
+    entries = spark.createDataFrame([("l", p, "add", "2024-01-01") for p in patterns], "list string, pattern string, action string, at string").withColumn("effective_at", F.to_timestamp("at"))
+    urls = [(1, f"http://{host}/", 3), (2, f"http://x.{host}", 3), (3, f"http://ok.com/{path}", 2), (4, f"http://ok.com//{path}/last/more?q", 3), (5, f"http://ok.com/{path[:-2]}", 1)]
+    captures = spark.createDataFrame([(i, u, "2024-02-01") for i, u, _ in urls], "id long, url string, at string").withColumn("fetched_at", F.to_timestamp("at"))
+    out = url_lists.listed_captures(captures, entries)
+    assert sorted((r.id, r.n_entries) for r in out.collect()) == [(i, n) for i, _, n in urls]
+
+
 # 5: decontamination
 
 

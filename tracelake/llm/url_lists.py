@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from tracelake.storage import materialize
 
-#: How many labels of a host and segments of a path are patterns of their own.
-MAX_LABELS, MAX_SEGMENTS = 8, 8
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and final dot; empty if there is none."""
@@ -30,13 +27,13 @@ def path_of(url: Column) -> Column:
 
 
 def patterns_of(url: Column) -> Column:
-    """All patterns that hold for a URL: its host and the domains above it, and its path's beginnings by segment."""
+    """All patterns that hold for a URL: its host and every domain above it, and its path's beginnings by segment, at any depth."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    domains = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    m = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
+    m = F.size(segments)
     prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
     return F.when(host != "", F.array_distinct(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>")))))
 
