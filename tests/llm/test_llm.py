@@ -336,6 +336,21 @@ def test_token_files(spark):
     assert token_files.read_documents(spark, empty).count() == 0
 
 
+def test_op6_gives_added_tokens_their_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |>", "no token here", *odd_texts(50)]
+    docs_of(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in registry.queries()["op6_token_files"](spark, str(tmp_path)).collect())
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 # 7 and 9: classifiers
 
 

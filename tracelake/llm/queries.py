@@ -77,7 +77,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's token ids and read start, length and checksum of each back from the files."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     docs, folder = _table(spark, sf_dir, "documents"), token_files.new_folder(spark)
-    token_files.write_token_files(docs, folder, lambda: token_files.file_tokenizer(path, pattern), end_id=0)
+    token_files.write_token_files(docs, folder, lambda: token_files.file_tokenizer(path, pattern, added_tokens=True), end_id=0)
     return token_files.read_documents(spark, folder, docs.schema["doc_id"].dataType.simpleString())
 
 

@@ -51,11 +51,12 @@ def _byte_letters() -> dict[int, int]:
 class FileTokenizer:
     """Whole texts through a ``tokenizers`` file with byte-level pre-tokenization.
 
-    The library's model encodes each distinct match of ``pattern`` once; special tokens' strings are
-    ordinary text.
+    The library's model encodes each distinct match of ``pattern`` once.  With ``added_tokens``, a text
+    that holds the string of one of the file's added tokens goes through the library whole, which gives
+    that token its own id; else such strings are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added_tokens: bool = False):
         import regex
         from tokenizers import Tokenizer
 
@@ -68,10 +69,18 @@ class FileTokenizer:
         self._letters = _byte_letters()
         n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if n_ids <= 1 << 16 else "<u4"
+        self._code = "H" if self.dtype == "<u2" else "I"
         self.encode_packed = PieceEncoder(regex.compile(pattern).findall, self._encode_matches, _REMEMBERED)
+        self._added = [t["content"] for t in setup["added_tokens"]] if added_tokens else []
+
+    def encode_whole(self, text: str) -> bytes:
+        """Packed ids of one text."""
+        if any(t in text for t in self._added):
+            return array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode_packed(text)
 
     def _encode_matches(self, matches) -> Iterator[bytes]:
-        tokenize, table, code = self.tokenizer.model.tokenize, self._letters, "H" if self.dtype == "<u2" else "I"
+        tokenize, table, code = self.tokenizer.model.tokenize, self._letters, self._code
         space = chr(table[ord(" ")])
         for m in matches:
             if m.isascii() and m[1:].isalnum() and m[0] == " ":
@@ -82,9 +91,9 @@ class FileTokenizer:
 
 
 @functools.lru_cache(maxsize=4)
-def file_tokenizer(path: str, pattern: str) -> FileTokenizer:
+def file_tokenizer(path: str, pattern: str, added_tokens: bool = False) -> FileTokenizer:
     """One per Python worker and vocabulary."""
-    return FileTokenizer(path, pattern)
+    return FileTokenizer(path, pattern, added_tokens)
 
 
 def write_token_files(
@@ -125,7 +134,7 @@ def write_token_files(
                 texts = some.column(1).to_pylist()
                 tok.encode_packed.learn(texts)
                 for text in texts:
-                    packed = tok.encode_packed(text) + end
+                    packed = tok.encode_whole(text) + end
                     sink.write(packed)
                     starts.append(starts[-1] + len(packed) // width)
         if sink is None:
