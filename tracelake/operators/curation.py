@@ -39,6 +39,34 @@ def token_pairs(a: DataFrame, b: DataFrame, threshold: float, ordered: bool = Fa
     return scored.where(F.col("jaccard") >= threshold).select("a_id", "b_id", "jaccard")
 
 
+def seed_pairs(docs: DataFrame, seeds: DataFrame, threshold: float, small: int = 1_000_000) -> DataFrame:
+    """(a_id, b_id, jaccard) of pairs (id, tokens) of a document and a seed with token Jaccard of ``threshold`` or more, exactly.
+
+    For seeds that are shorter than most documents.  A pair that reaches the threshold t has
+    t / (1 + t) of both sizes in common, so one of the seed's first n - that + 1 tokens, from rare to
+    common; the longer the document, the fewer these are.  Seeds of ``small`` tokens or fewer in all
+    are broadcast.
+    """
+    from tracelake.storage import materialize
+
+    sets = lambda df, id_, ts: df.select(F.col("id").alias(id_), F.array_distinct("tokens").alias(ts)).where(F.size(ts) > 0)
+    a, b = sets(docs, "a_id", "ta"), materialize(sets(seeds, "b_id", "tb"), "seed_sets")
+    words = a.select("a_id", F.size("ta").alias("na"), F.explode("ta").alias("t"))
+    vocabulary = b.select(F.explode("tb").alias("t"))
+    held = F.broadcast if vocabulary.count() <= small else (lambda df: df)
+    df = words.join(held(vocabulary.distinct()), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    own = b.select("b_id", F.size("tb").alias("nb"), F.explode("tb").alias("t")).join(df, "t")  # a token of no document is in no common part
+    order = F.row_number().over(Window.partitionBy("b_id").orderBy("df", "t"))
+    ranked = materialize(own.withColumn("at", order), "seed_tokens")
+    # A little less than the bound, so that rounding never loses a pair.
+    least = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-6)
+    met = words.join(held(ranked), "t").where(F.col("at") <= F.col("nb") - least + 1)
+    pairs = materialize(met.select("a_id", "b_id").distinct(), "seed_pairs")
+    common = F.size(F.array_intersect("ta", "tb"))
+    scored = pairs.join(held(b), "b_id").join(a, "a_id").withColumn("jaccard", common / (F.size("ta") + F.size("tb") - common))
+    return scored.where(F.col("jaccard") >= threshold).select("a_id", "b_id", "jaccard")
+
+
 def largest_remainder(strata: DataFrame, total: int, n: str = "n", key: str = "stratum") -> DataFrame:
     """``alloc`` of ``total`` over strata in proportion to ``n``: floors, then one each by remainder, ties by key.
 

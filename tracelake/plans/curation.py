@@ -83,6 +83,14 @@ def token_overlap(t: Tables) -> DataFrame:
     return cur.token_pairs(docs, t.benchmark.select(F.col("item_id").alias("id"), words.alias("tokens")), 0.1)
 
 
+@query()
+def token_overlap_all(t: Tables) -> DataFrame:
+    """Texts of any length against seeds by token Jaccard; tests hold it against all pairs."""
+    words = F.split(F.lower("text"), " ")
+    docs = t.documents.select(F.col("doc_id").alias("id"), words.alias("tokens"))
+    return cur.seed_pairs(docs, t.benchmark.select(F.col("item_id").alias("id"), words.alias("tokens")), 0.1)
+
+
 _ALLOC = """q AS (SELECT stratum, n, n * 100.0 / sum(n) OVER () AS quota FROM strata), f AS (SELECT *, floor(quota) AS fl FROM q),
 alloc AS (SELECT stratum, n, CAST(fl + CASE WHEN row_number() OVER (ORDER BY quota - fl DESC, stratum) <= 100 - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS alloc FROM f)"""
 _STRATA = "strata AS (SELECT lang AS stratum, count(*) AS n FROM documents GROUP BY 1)"

@@ -72,6 +72,16 @@ def value_match(t: Tables) -> DataFrame:
     return rows.select("event_id", *[scoring.value_match(F.col("a"), F.col("b"), p).alias(p) for p in ("strict9", "loose6", "abs3", "rel6")])
 
 
+@query("""SELECT event_id, coalesce(value <> floor(value) AND abs(round(value, 3) - value) < 1e-9, false) AS strict9, coalesce(abs(round(value, 3) - value) < 1e-6, false) AS loose6, coalesce(abs(round(value, 3) - value) < 1e-3, false) AS abs3,
+  coalesce(abs(round(value, 3) - value) <= 1e-6 * greatest(abs(value), abs(round(value, 3)), 1.0), false) AS rel6 FROM events""")
+def value_match_all(t: Tables) -> DataFrame:
+    """The same on every event: whole numbers are written without a point, where ``strict9`` goes by the text, and nulls never match."""
+    value = F.col("value")
+    written = F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    rows = t.events.select("event_id", F.round("value", 3).cast("string").alias("a"), written.alias("b"))
+    return rows.select("event_id", *[scoring.value_match(F.col("a"), F.col("b"), p).alias(p) for p in ("strict9", "loose6", "abs3", "rel6")])
+
+
 @query("""WITH p AS (SELECT user_id, count_if(event_type <> 'error') * 1.0 / count(*) AS p FROM events GROUP BY 1)
 SELECT user_id, round(CASE WHEN p < 1.0 / 8 THEN 0.0 ELSE exp(-power(greatest(0.25 - p, p - 0.75, 0.0), 2) / (2 * 0.12 * 0.12)) END, 8) AS reward FROM p""")
 def bandpass_difficulty(t: Tables) -> DataFrame:
