@@ -69,6 +69,16 @@ def test_value_match_all_has_whole_numbers_and_nulls(spark, tmp_path):
     assert got == [(1, False, True, True, True), (2, False, False, False, False), (3, True, True, True, True), (4, False, False, True, False)]
 
 
+def test_paired_bootstrap_takes_the_operators_resamples(spark, sf):
+    from tracelake.operators import aggregates
+    from tracelake.plans.statistics import arms
+
+    rows = arms(registry.Tables(spark, sf)).withColumnRenamed("task_id", "key")
+    want = aggregates.bootstrap_delta(rows, "a", "b", resamples=2000).first()
+    got = registry.QUERIES["paired_bootstrap"](spark, sf).first()
+    assert all(abs(x - y) < 1e-12 for x, y in zip(got, want, strict=True))
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -126,7 +126,7 @@ def mcnemar_p_value(t: Tables) -> DataFrame:
 @query()
 def paired_bootstrap(t: Tables) -> DataFrame:
     """Confidence interval of the difference of two arms."""
-    return agg.bootstrap_delta(arms(t).withColumnRenamed("task_id", "key"), "a", "b", resamples=200)
+    return agg.bootstrap_delta(arms(t).withColumnRenamed("task_id", "key"), "a", "b")
 
 
 @query("""WITH c AS (SELECT c_mktsegment, count(*) AS n, count_if(c_acctbal > 0) AS k FROM customer GROUP BY 1)
