@@ -79,6 +79,14 @@ def test_paired_bootstrap_takes_the_operators_resamples(spark, sf):
     assert all(abs(x - y) < 1e-12 for x, y in zip(got, want, strict=True))
 
 
+def test_no_query_gathers_a_table_or_a_user(spark, sf):
+    plan = lambda name: registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    replay = plan("mixed_replay").splitlines()
+    window = next(i for i, line in enumerate(replay) if "Window [" in line)
+    assert any("GlobalLimit 250" in line for line in replay[window:])  # numbers what the limit left
+    assert "collect_list" not in plan("tool_ngrams")
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -80,7 +80,10 @@ def cohort_assignment(t: Tables) -> DataFrame:
 SELECT s_suppkey, count(*) AS times FROM (SELECT unnest(range(250)) AS k) JOIN s ON i = k % n GROUP BY 1""")
 def mixed_replay(t: Tables) -> DataFrame:
     """More rows than there are: the hash order is gone through again and again."""
-    rows = t.supplier.select("s_suppkey", (F.row_number().over(Window.orderBy(F.md5(F.col("s_suppkey").cast("string")), "s_suppkey")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    order = [F.md5(F.col("s_suppkey").cast("string")), F.col("s_suppkey")]
+    first = t.supplier.select("s_suppkey").orderBy(*order).limit(250)  # no further row is reached
+    n = t.supplier.agg(F.count("*").alias("n"))
+    rows = first.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1).join(F.broadcast(n), F.lit(True))
     need = F.floor((F.lit(250) - F.col("i") - 1) / F.col("n")) + 1
     return rows.withColumn("times", F.greatest(need, F.lit(0)).cast("long")).where("times > 0").select("s_suppkey", "times")
 

@@ -132,8 +132,10 @@ def arm_ranks(t: Tables) -> DataFrame:
 SELECT gram, count(*) AS n FROM s WHERE gram IS NOT NULL GROUP BY 1""")
 def tool_ngrams(t: Tables) -> DataFrame:
     """Trigrams of the sequence of types."""
-    seq = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("seq"))
-    return seq.select(F.explode(text.word_ngrams(F.col("seq"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    following = [F.lead("event_type", k).over(own) for k in (1, 2)]
+    grams = t.events.select(F.concat("event_type", F.lit(">"), following[0], F.lit(">"), following[1]).alias("gram"))
+    return grams.where("gram is not null").groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant' AND length(text) < 200) AS first_short, count(*) AS turns FROM conversations GROUP BY 1""")
