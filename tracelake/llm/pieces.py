@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-#: A worker forgets all pieces once it knows this many, and starts again.
-REMEMBERED = 800_000
+#: A worker forgets all pieces once they take about so many bytes, and starts again.
+REMEMBERED_BYTES = 128 << 20
+#: Bytes that an entry takes beside its strings' own, and the characters of the longest piece that is remembered.
+_ENTRY, _LONGEST = 200, 64
 
 
 def _apart(piece: str) -> bool:
@@ -29,32 +31,43 @@ class PieceEncoder:
     """Packed token ids of whole texts.
 
     ``matches`` splits a string as the tokenizer's pattern does; ``encode_matches`` gives the packed
-    ids of each of several distinct matches, which come in sorted order.
+    ids of each of several distinct matches, which come in sorted order.  What is remembered is bounded
+    in bytes, and long pieces are not remembered; neither changes a result.
     """
 
     def __init__(
         self,
         matches: Callable[[str], list[str]],
         encode_matches: Callable[[Sequence[str]], Iterable[bytes]],
-        bound: int = REMEMBERED,
+        bound: int = REMEMBERED_BYTES,
     ):
         self._matches, self._encode_matches, self._bound = matches, encode_matches, bound
-        self._of_match: dict[str, bytes] = {}
-        self._of_piece: dict[str, bytes] = {}  # by what follows the space
+        self._held = 0
+        self._of_match: dict[str, bytes] = {}  # matches that do not begin with a space
+        self._of_piece: dict[str, bytes] = {}  # by what follows the space, single matches among them
+
+    def _keep(self, memory: dict[str, bytes], new: dict[str, bytes]) -> None:
+        memory.update(new)
+        self._held += _ENTRY * len(new) + 2 * sum(map(len, new)) + sum(map(len, new.values()))
 
     def learn(self, texts: Iterable[str | None]) -> None:
         """Encode what a batch has and the memory lacks, each distinct match once."""
-        if len(self._of_piece) + len(self._of_match) > self._bound:
+        if self._held > self._bound:
             self._of_piece.clear()
             self._of_match.clear()
+            self._held = 0
         new: set[str] = set()
         for text in texts:
             new.update((text or "").split(" "))
-        split = {p: self._split(p) for p in new if p not in self._of_piece and _apart(p)}
-        unseen = sorted({m for found in split.values() for m in found if m not in self._of_match})
-        self._of_match.update(zip(unseen, self._encode_matches(unseen), strict=True))
-        known = self._of_match.__getitem__
-        self._of_piece.update((p, b"".join(map(known, found))) for p, found in split.items())
+        of_piece, of_match = self._of_piece, self._of_match
+        split = {p: self._split(p) for p in new if p not in of_piece and len(p) <= _LONGEST and _apart(p)}
+        every = {m for found in split.values() for m in found}
+        unseen = sorted(m for m in every if (m[1:] not in of_piece if m[0] == " " else m not in of_match))
+        ids = dict(zip(unseen, self._encode_matches(unseen), strict=True))
+        self._keep(of_piece, {m[1:]: x for m, x in ids.items() if m[0] == " "})
+        self._keep(of_match, {m: x for m, x in ids.items() if m[0] != " "})
+        several = ((p, found) for p, found in split.items() if len(found) > 1)
+        self._keep(of_piece, {p: b"".join([of_piece[m[1:]] if m[0] == " " else of_match[m] for m in found]) for p, found in several})
 
     def _split(self, piece: str) -> list[str]:
         """Matches of a piece and the space before it: a word, perhaps with a comma or full stop, needs no pattern."""
@@ -64,11 +77,10 @@ class PieceEncoder:
             return [" " + piece[:-1], piece[-1]]
         return self._matches(" " + piece)
 
-    def _whole(self, text: str) -> bytes:
-        found = self._matches(text)
-        unseen = sorted({m for m in found if m not in self._of_match})
-        more = dict(zip(unseen, self._encode_matches(unseen), strict=True))
-        return b"".join(more[m] if m in more else self._of_match[m] for m in found)
+    def _encoded(self, found: list[str]) -> bytes:
+        """Ids of matches that may be unknown, without remembering them."""
+        some = sorted(set(found))
+        return b"".join(map(dict(zip(some, self._encode_matches(some), strict=True)).__getitem__, found))
 
     def __call__(self, text: str | None) -> bytes:
         """Packed ids of one text, of a batch that was learnt or not."""
@@ -76,9 +88,12 @@ class PieceEncoder:
             return b""
         first, *rest = text.split(" ")
         if rest and first and first[-1].isspace():
-            return self._whole(text)
+            return self._encoded(self._matches(text))
+        of_piece = self._of_piece
         try:
-            packed = b"".join(map(self._of_piece.__getitem__, rest))
+            packed = b"".join(map(of_piece.__getitem__, rest))
         except KeyError:
-            return self._whole(text)
-        return self._whole(first) + packed if first else packed
+            if not all(p in of_piece or _apart(p) for p in rest):
+                return self._encoded(self._matches(text))
+            packed = b"".join(of_piece[p] if p in of_piece else self._encoded(self._split(p)) for p in rest)
+        return self._encoded(self._matches(first)) + packed if first else packed
