@@ -18,8 +18,8 @@ from tracelake.storage import materialize
 WINDOW = 10
 #: What stands between words, upper-case letters still being there.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows up to which a table of terms, anchors or alignments (tens of bytes) or of whole items is broadcast.
-_SMALL_ROWS, _SMALL_ITEMS = 1_000_000, 20_000
+#: Rows and array elements (tens of bytes each) up to which a table made of the benchmark alone is broadcast.
+_SMALL = 1_000_000
 
 
 def _raw_words(text: Column) -> Column:
@@ -27,15 +27,14 @@ def _raw_words(text: Column) -> Column:
     return F.split(text, _BETWEEN, -1)
 
 
-def _n_words(raw: Column) -> Column:
-    n = F.size(raw)
-    ends = (F.element_at(raw, 1) == "").cast("int") + F.when(n > 1, (F.element_at(raw, -1) == "").cast("int")).otherwise(0)
-    return n - ends
+def _n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(_BETWEEN.replace("[", "[^", 1))), F.lit(0)).cast("long")
 
 
-def _few(table: DataFrame, rows: int) -> DataFrame:
-    """``table`` marked for broadcasting if it was counted and is small; else for a shuffled join."""
-    return F.broadcast(table) if table.count() <= rows else table
+def _few(table: DataFrame, array: str | None = None) -> DataFrame:
+    """``table`` marked for broadcasting if its rows, and the elements of ``array``, were counted and are few; else for a shuffled join."""
+    n = F.count("*") + (F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0))
+    return F.broadcast(table) if table.agg(n.alias("n")).first()["n"] <= _SMALL else table
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -59,8 +58,8 @@ def plan_items(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """
     placed = items.select("ik", F.posexplode("words").alias("p", "term"))
     vocabulary = materialize(placed.select("term").distinct(), "decon_terms")
-    counts = _tokens(docs).select("term").join(_few(vocabulary, _SMALL_ROWS), "term").groupBy("term").agg(F.count("*").alias("cf"))
-    known = placed.join(_few(materialize(counts, "decon_counts"), _SMALL_ROWS), "term", "left")
+    counts = _tokens(docs).select("term").join(_few(vocabulary), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    known = placed.join(_few(materialize(counts, "decon_counts")), "term", "left")
     cfs = known.groupBy("ik").agg(F.array_sort(F.collect_list(F.struct(F.col("p"), F.coalesce("cf", F.lit(0)).alias("cf")))).alias("cfs"))
     length = F.least(F.size("cfs"), F.lit(window))
 
@@ -80,7 +79,7 @@ def postings(docs: DataFrame, planned: DataFrame) -> DataFrame:
     anchors = anchors.select("ik", "words", F.explode(F.array("w.p1", "w.p2")).alias("p")).select("ik", "p", F.get("words", F.col("p")).alias("term"))
     places = materialize(anchors.distinct().groupBy("term").agg(F.collect_list(F.struct("ik", "p")).alias("places")), "decon_anchors")
     # One row per token, whatever number of places it has.
-    return materialize(_tokens(docs).join(_few(places, _SMALL_ROWS), "term").select("id", "th", "pos", "places"), "decon_postings")
+    return materialize(_tokens(docs).join(_few(places, "places"), "term").select("id", "th", "pos", "places"), "decon_postings")
 
 
 def alignments(index: DataFrame, planned: DataFrame, slop: int = 0) -> DataFrame:
@@ -100,7 +99,7 @@ def alignments(index: DataFrame, planned: DataFrame, slop: int = 0) -> DataFrame
         shifted = shifted.withColumn("loose", F.col("p"))
     met = shifted.groupBy("id", "th", "ik", "diag").agg(F.collect_set("p").alias("ps"), F.collect_set("loose").alias("loose"))
     both = F.filter("wins", lambda w: F.array_contains("ps", w["p1"]) & F.array_contains("loose", w["p2"]))
-    rows = met.join(_few(planned.select("ik", "wins"), _SMALL_ITEMS), "ik").select("id", "th", "ik", "diag", both.alias("wins"))
+    rows = met.join(_few(planned.select("ik", "wins"), "wins"), "ik").select("id", "th", "ik", "diag", both.alias("wins"))
     return materialize(rows.where(F.size("wins") > 0), "decon_aligned")
 
 
@@ -113,9 +112,10 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     rows = _prepared(docs, id_col, text_col)
     planned = plan_items(rows, _items(benchmark, item_col, text_col), window)
     aligned = alignments(postings(rows, planned), planned).withColumnsRenamed({"id": "aid", "th": "ath"})
-    found = rows.join(_few(aligned, _SMALL_ROWS), F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")))
+    # What aligns grows with the corpus, so it is shuffled to the texts at every size.
+    found = rows.join(aligned.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")))
     found = found.select("id", "th", _raw_words(F.col("text")).alias("raw"), "ik", "diag", "wins")
-    found = found.join(_few(planned.select("ik", "item", "words", "len"), _SMALL_ITEMS), "ik")
+    found = found.join(_few(planned.select("ik", "item", "words", "len"), "words"), "ik")
     same = lambda w: (F.col("diag") + w["s"] >= 0) & (
         F.transform(F.slice("raw", F.greatest(F.col("diag") + w["s"] + 1, F.lit(1)), F.col("len")), ascii_lower) == F.slice("words", w["s"] + 1, F.col("len"))
     )
@@ -131,7 +131,7 @@ def proximity_matches(
     among them, except windows that hold a term no document has, which are not looked for."""
     rows = _prepared(docs, id_col, text_col)
     planned = plan_items(rows, _items(benchmark, item_col, text_col), window)
-    near = alignments(postings(rows, planned), planned, slop).join(_few(planned.select("ik", "item"), _SMALL_ITEMS), "ik")
+    near = alignments(postings(rows, planned), planned, slop).join(_few(planned.select("ik", "item")), "ik")
     met = near.select("id", "item", F.explode("wins").alias("w")).groupBy("id", "item").agg(F.countDistinct("w.s").alias("windows"))
     return met.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "windows")
 
@@ -154,9 +154,8 @@ def contamination(
         F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items")
     )
     hits = materialize(hits.withColumnsRenamed({"id": "hid", "th": "hth"}), "decon_hits")
-    raw = _raw_words(F.col("text"))
-    rows = _prepared(docs, id_col, text_col).select("id", "th", F.when(F.col("text").isNull(), 0).otherwise(_n_words(raw)).cast("long").alias("n_words"))
-    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
+    rows = _prepared(docs, id_col, text_col).select("id", "th", _n_words(F.col("text")).alias("n_words"))
+    joined = rows.join(hits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
@@ -171,4 +170,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     bad_id, bad_text = unused(docs, "bad_id"), unused(docs, "bad_text")
     bad = materialize(matches.select(F.col("id").alias(bad_id), F.col("th").alias(bad_text)).distinct(), "decon_bad")
     hit = docs[id_col].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text_col]) == F.col(bad_text))
-    return docs.join(_few(bad, _SMALL_ROWS), hit, "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), hit, "left_anti")
