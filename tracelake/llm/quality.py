@@ -110,19 +110,21 @@ def fit_counts(counts: np.ndarray, labels: np.ndarray, dims: int = 64, neighbour
     return Model(idf, projection, _unit(rows @ projection).astype(np.float32), labels.astype(float), prior, neighbours)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", max_labelled: int = 4096, **options) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", max_labelled: int = 4096, id_col: str = "doc_id", text_col: str = "text", **options
+) -> Model:
     """Fit on at most ``max_labelled`` labelled documents among those that satisfy ``train``.
 
     Without usable labels nothing is known against any text, and every score is 1.
     """
-    sample = labelled_sample(docs, labels, label, train, max_labelled).select("label", "text")
+    sample = labelled_sample(docs, labels, label, train, max_labelled, id_col, text_col).select("label", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [term_counts(t).astype("<i4").tobytes() for t in frame["text"]]
             yield pd.DataFrame({"label": frame["label"], "counts": rows})
 
-    rows = sample.mapInPandas(count, "label int, counts binary").limit(max_labelled).collect()  # bounded
+    rows = sample.mapInPandas(count, "label int, counts binary").collect()  # a row per labelled id, max_labelled at most
     if not rows:
         return Model(np.zeros(N_TERMS), np.zeros((N_TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 1.0, 1)
     rows.sort(key=lambda r: (r["label"], bytes(r["counts"])))

@@ -83,7 +83,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a fifth of the ids is held out."""
-    docs, held_out = _table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    docs, held_out = _table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -95,7 +95,7 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; a quarter of the ids is held out."""
-    docs, held_out = _table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    docs, held_out = _table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return quality.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -155,14 +155,14 @@ class ToxicityModel:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_labelled: int = 8192, trees: int = 20, depth: int = 4
+    docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_labelled: int = 8192, trees: int = 20, depth: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> ToxicityModel:
     """Fit on at most ``max_labelled`` labelled documents among those that satisfy ``train``.
 
     Three quarters grow the lexicon and the trees, the rest calibrates.  With labels of one class only,
     or none, the score is that class (0 for none).
     """
-    sample = materialize(labelled_sample(docs, labels, label, train, max_labelled).withColumn("calibrates", F.pmod(F.xxhash64("id"), F.lit(4)) == 3), "toxic_sample")
+    sample = materialize(labelled_sample(docs, labels, label, train, max_labelled, id_col, text_col).withColumn("calibrates", F.pmod(F.xxhash64("id"), F.lit(4)) == 3), "toxic_sample")
     grow = sample.where(~F.col("calibrates"))
     seen = {(r["calibrates"], r["label"]): r["count"] for r in sample.groupBy("calibrates", "label").count().collect()}
     if not (seen.get((False, 0)) and seen.get((False, 1))):
