@@ -37,4 +37,4 @@ def query(sql: str | None = None, bigint: str = "") -> Callable:
     return register
 
 
-from tracelake.plans import curation, gates, grading, ordered, rollups, statistics, streams  # noqa: E402, F401
+from tracelake.plans import curation, gates, grading, ordered, rollups, statistics, streams, traces  # noqa: E402, F401
