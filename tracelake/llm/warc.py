@@ -284,14 +284,15 @@ def convert(files: DataFrame, folder: str, ranks: DataFrame | None = None, min_r
         ranked = long.withColumn("rank", F.lit(None).cast("int"))
         best = F.min_by(F.struct("record", "url", "date", "rank"), F.struct("date", "path", "seq"))
     else:
-        ranked = long.join(ranks.select("path", "seq", "rank"), ["path", "seq"], "left")
+        ranked = long.join(ranks.select("path", "seq", "rank").hint("shuffle_hash"), ["path", "seq"], "left")
         best = F.max_by(F.struct("record", "url", "date", "rank"), F.struct("rank", "record"))
     targets = ranked.groupBy("digest").agg(best.alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
     targets = materialize(targets, "arc_targets")
     other = F.col("record") != F.col("target.record")
     if ranks is not None:
         other = other & ~F.col("rank").eqNullSafe(F.col("target.rank"))
-    revisits = ranked.join(targets, "digest").where(other)
+    # What repeats grows with the archives: shuffled at every size, and a digest that a third of all records have is split.
+    revisits = ranked.join(targets.hint("shuffle_hash"), "digest").where(other)
     # One row per ARC file again: its records that are revisits, no more than the file has.
     entry = F.struct("seq", F.col("target.record").alias("record"), F.col("target.url").alias("url"), F.col("target.date").alias("date"))
     decisions = revisits.groupBy("path").agg(F.collect_list(entry).alias("revisits"))
@@ -316,10 +317,10 @@ def convert(files: DataFrame, folder: str, ranks: DataFrame | None = None, min_r
                         target = target_of.get(seq)
                         if parts is None:
                             kind, block = "resource", content
-                            head |= {"Content-Type": fields["Content-type"], "WARC-Block-Digest": digest, "WARC-Payload-Digest": digest}
+                            head |= {"Content-Type": fields["Content-type"], "WARC-Payload-Digest": digest}
                         else:
                             kind, block = ("response", content) if target is None else ("revisit", parts[0])
-                            head |= {"Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": _sha1(block), "WARC-Payload-Digest": digest}
+                            head |= {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest}
                         if target is not None:
                             head |= {
                                 "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": target["record"], "WARC-Refers-To-Target-URI": target["url"],
@@ -387,9 +388,11 @@ def archive_pages(
     files, damaged = convert(sidecar.select("path").distinct(), folder, sidecar.withColumnRenamed("key", "rank"))
     if not damaged.isEmpty():
         raise ArcError(f"written archives do not read back: {damaged.first()}")
-    out = materialize(read_warcs(files, folder).drop("url", "date").join(sidecar.withColumnRenamed("path", "arc"), ["arc", "seq"]), "warc_read")
+    placed = sidecar.withColumnRenamed("path", "arc").hint("shuffle_hash")
+    out = materialize(read_warcs(files, folder).drop("url", "date").join(placed, ["arc", "seq"]), "warc_read")
     # Only what revisits refer to is looked up; a payload that every third page has is one row here.
     asked = out.where(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("record")).distinct()
-    target = materialize(out.join(asked, "record", "left_semi").select(F.col("record").alias("target"), F.col("key").alias("target_key")), "warc_targets")
-    found = out.join(target, F.col("refers_to") == F.col("target"), "left")
+    target = out.join(asked.hint("shuffle_hash"), "record", "left_semi").select(F.col("record").alias("refers_to"), F.col("key").alias("target_key"))
+    target = materialize(target, "warc_targets").hint("shuffle_hash")
+    found = out.where(F.col("refers_to").isNotNull()).join(target, "refers_to").unionByName(out.where(F.col("refers_to").isNull()).withColumn("target_key", F.lit(None).cast(out.schema["key"].dataType)))
     return found.select(F.col("key").alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("target_key").alias("refers_to"))
