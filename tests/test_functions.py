@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.functions import scoring, text
+from tracelake.functions import calls, scoring, text
 from tracelake.operators import aggregates, curation, windows
 from tracelake.operators.components import connected_components
 
@@ -23,7 +23,7 @@ def test_tags(spark):
 
 
 def test_relaxed_json(spark):
-    get = lambda s: one(spark, F.try_variant_get(text.relaxed_json(F.lit(s)), "$.a", "string"))
+    get = lambda s: one(spark, F.try_variant_get(calls.relaxed_json(F.lit(s)), "$.a", "string"))
     assert get('{"a": 1}') == "1"
     assert get("```json\n{'a': None, 'b': True}\n```") is None
     assert get("{'a': True}") == "true"

@@ -44,15 +44,6 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def relaxed_json(text: Column) -> Column:
-    """Variant of JSON that may stand in a code fence or use Python's words and quotes; null if it is neither, or holds ``...``."""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```[a-zA-Z]*\s*|\s*```$", ""))
-    python = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
-    quoted = F.translate(python, "'", '"')
-    parsed = F.coalesce(F.try_parse_json(bare), F.try_parse_json(python), F.try_parse_json(quoted))
-    return F.when(~F.contains(text, F.lit("...")), parsed)
-
-
 def close_json(text: Column) -> Column:
     """Truncated JSON with the missing braces and then brackets appended."""
     missing = lambda a, b: F.greatest(F.regexp_count(text, F.lit(a)) - F.regexp_count(text, F.lit(b)), F.lit(0))

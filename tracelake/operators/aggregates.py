@@ -6,11 +6,15 @@ Everything is partial-then-final aggregation; windows run over aggregated rows o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.names import unused
+
 
 def counts_by_first_seen(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """(keys, value, n, rank): values by count, ties by which was seen first in ``order``."""
@@ -140,18 +144,39 @@ def erfc_p_value(chi2: Column) -> Column:
 
 
 def bootstrap_delta(df: DataFrame, a: str, b: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
-    """(mean, low, high) of the mean of b - a by Poisson bootstrap: each row weighs Poisson(1) in every resample.
+    """(mean, low, high) of the mean of b - a over resamples of the pairs; ``a`` and ``b`` are booleans.
 
-    The weights come from a hash of the row and the resample, so the result does not depend on how rows
-    are dealt out; each row sends 'resamples' partial sums to a map-side aggregation, never the rows themselves.
+    A pair's difference is -1, 0 or 1, so the three counts are all that a resample needs: they are
+    aggregated, and each resample is a multinomial draw from them.  Nulls in either arm leave a pair out.
     """
-    delta = F.col(b).cast("double") - F.col(a).cast("double")
-    u = F.pmod(F.xxhash64(F.lit(seed), "key", "k"), F.lit(1 << 30)) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for n in range(1, 10):  # inverse of Poisson(1) up to 9
-        total += term
-        term /= n
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-    rows = df.select("key", delta.alias("d"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("k")).withColumn("w", weight)
-    means = rows.groupBy("k").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    delta = F.col(b).cast("int") - F.col(a).cast("int")
+    counts = df.agg(*[F.count_if(delta == d).alias(n) for d, n in ((-1, "lost"), (0, "same"), (1, "gained"))])
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lost, same, gained in frame.itertuples(index=False):
+                n = lost + same + gained
+                if n:
+                    rows = np.random.default_rng(seed).multinomial(n, [lost / n, same / n, gained / n], size=resamples)
+                    means = (rows[:, 2] - rows[:, 0]) / n
+                    yield pd.DataFrame({"mean": [means.mean()], "low": [np.percentile(means, 2.5)], "high": [np.percentile(means, 97.5)]})
+
+    return counts.mapInPandas(draw, "mean double, low double, high double")
+
+
+def bootstrap_rate(df: DataFrame, keys: list[str], passed: Column, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Per key: n, rate, and mean, std, low and high of the rate over resamples, in percent with two places."""
+    wins = unused(df, "wins")
+    counts = df.groupBy(*keys).agg(F.count(passed).alias("n"), F.count_if(passed).alias(wins))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for n, k in zip(frame["n"], frame[wins], strict=True):
+                # A resample of n outcomes of which k passed passes as often as a binomial draw.
+                rates = np.random.default_rng(seed).binomial(n, k / n, size=resamples) / n if n else np.zeros(1)
+                rows.append([k / n if n else None, *(round(100 * float(v), 2) for v in (rates.mean(), rates.std(), *np.percentile(rates, (2.5, 97.5))))])
+            yield pd.concat([frame[keys + ["n"]].reset_index(drop=True), pd.DataFrame(rows, columns=["rate", "mean", "std", "low", "high"], dtype=float)], axis=1)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
+    return counts.mapInPandas(draw, f"{kinds}, n long, rate double, mean double, std double, low double, high double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.storage import materialize
+
 
 def without_overlap(df: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
     """Rows that share none of several keys with ``others``: one anti-join each, not one on a disjunction."""
@@ -26,12 +28,15 @@ def token_pairs(a: DataFrame, b: DataFrame, threshold: float, ordered: bool = Fa
     df = flat.groupBy("t").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "t")))
     sorted_sets = flat.join(df, "t").groupBy("side", "id").agg(F.transform(order, lambda x: x["t"]).alias("tokens"))
-    n = F.size("tokens")
+    sorted_sets = materialize(sorted_sets.withColumn("n", F.size("tokens")), "token_sets")  # read four times
+    n = F.col("n")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * threshold) + 1).cast("int"))
-    heads = sorted_sets.select("side", "id", F.explode(prefix).alias("t"))
-    left = heads.where(F.col("side") == 0).select(F.col("id").alias("a_id"), "t")
-    right = heads.where(F.col("side") == (0 if ordered else 1)).select(F.col("id").alias("b_id"), "t")
-    pairs = left.join(right, "t").where(F.col("a_id") < F.col("b_id") if ordered else F.lit(True)).select("a_id", "b_id").distinct()
+    heads = sorted_sets.select("side", "id", "n", F.explode(prefix).alias("t"))
+    left = heads.where(F.col("side") == 0).select(F.col("id").alias("a_id"), F.col("n").alias("na"), "t")
+    right = heads.where(F.col("side") == (0 if ordered else 1)).select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "t")
+    # Sets of too unlike sizes cannot reach the threshold.
+    sized = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    pairs = left.join(right, "t").where(sized & (F.col("a_id") < F.col("b_id") if ordered else F.lit(True))).select("a_id", "b_id").distinct()
     ta = sorted_sets.where(F.col("side") == 0).select(F.col("id").alias("a_id"), F.col("tokens").alias("ta"))
     tb = sorted_sets.where(F.col("side") == (0 if ordered else 1)).select(F.col("id").alias("b_id"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
@@ -47,8 +52,6 @@ def seed_pairs(docs: DataFrame, seeds: DataFrame, threshold: float, small: int =
     common; the longer the document, the fewer these are.  Seeds of ``small`` tokens or fewer in all
     are broadcast.
     """
-    from tracelake.storage import materialize
-
     sets = lambda df, id_, ts: df.select(F.col("id").alias(id_), F.array_distinct("tokens").alias(ts)).where(F.size(ts) > 0)
     a, b = sets(docs, "a_id", "ta"), materialize(sets(seeds, "b_id", "tb"), "seed_sets")
     words = a.select("a_id", F.size("ta").alias("na"), F.explode("ta").alias("t"))
@@ -116,8 +119,6 @@ def first_seen_by_either(rows: DataFrame, order: str, key_a: str, key_b: str) ->
     are all decided: in each, a row without undecided or kept earlier rivals is kept, and rows with a
     kept earlier rival go.  Chains of rivals are short, and rounds shrink the open set.
     """
-    from tracelake.storage import materialize
-
     todo = materialize(rows.select(order, key_a, key_b), "seen_open")
     kept = None
     while not todo.isEmpty():

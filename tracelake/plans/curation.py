@@ -9,6 +9,7 @@ from tracelake.functions import scoring, text
 from tracelake.operators import curation as cur
 from tracelake.operators import windows as win
 from tracelake.operators.components import connected_components
+from tracelake.storage import materialize
 from tracelake.plans.registry import Tables, query
 
 _SQUASH = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -67,9 +68,12 @@ def similar_pairs(t: Tables) -> DataFrame:
 reach AS (SELECT id AS a, id AS b FROM s UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS component FROM reach GROUP BY 1""")
 def near_dup_clusters(t: Tables) -> DataFrame:
     """Clusters of similar rows; a row without a partner is its own."""
-    sets = _part_sets(t)
-    parts = connected_components(cur.token_pairs(sets, sets, 0.8, ordered=True), "a_id", "b_id")
-    return sets.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    rows = _part_sets(t).select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
+    # Equal sets are one class before anything is compared.
+    classes = materialize(rows.groupBy("tokens").agg(F.min("id").alias("id")), "token_classes")
+    parts = connected_components(cur.token_pairs(classes, classes, 0.8, ordered=True), "a_id", "b_id").withColumnRenamed("node", "id")
+    named = classes.join(parts, "id", "left").select("tokens", F.coalesce("component", "id").alias("component"))
+    return rows.join(named, "tokens").select("id", "component")
 
 
 @query("""WITH d AS (SELECT doc_id AS id, list_distinct(string_split(lower(text), ' ')) AS tokens FROM documents WHERE n_chars < 400),

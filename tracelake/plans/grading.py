@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions import scoring, text
+from tracelake.functions import calls, scoring, text
 from tracelake.plans.registry import Tables, query
 from tracelake.plans.rollups import LINE_ORDER, LINE_ORDER_SQL
 
@@ -51,11 +51,49 @@ def tag_extract(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.nullif(text.tag_first(F.col("html"), "title"), F.lit("")).alias("title"), F.size(every).cast("long").alias("paragraphs"))
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_id % 3 WHEN 0 THEN 'it''s None of them' WHEN 1 THEN 'True' END AS note FROM events WHERE event_id % 5 <> 0
+UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 5 = 0""")
 def relaxed_json(t: Tables) -> DataFrame:
-    """Values of JSON that is fenced and written as Python would."""
-    odd = F.concat(F.lit("```json\n"), F.translate("props", '"', "'"), F.lit("\n```"))
-    return t.events.select("event_id", F.try_variant_get(text.relaxed_json(odd), "$.k", "bigint").alias("k"))
+    """Values of JSON that is fenced and written as Python would: apostrophes and Python's words inside strings, and rows that are neither."""
+    note = F.when(F.col("event_id") % 3 == 0, "\"it's None of them\"").when(F.col("event_id") % 3 == 1, "'True'").otherwise("None")
+    odd = F.concat(F.lit("```json\n"), F.regexp_replace(F.translate("props", '"', "'"), r"\}$", ", 'note': "), note, F.when(F.col("event_id") % 5 == 0, "").otherwise("}"), F.lit("\n```"))
+    rows = t.events.select("event_id", calls.relaxed_json(odd).alias("v"))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$.note", "string").alias("note"))
+
+
+def _written(t: Tables) -> DataFrame:
+    """Events as calls in eight shapes, two of which are none."""
+    k, n = F.col("event_id") % 8, F.get_json_object("props", "$.k")
+    name = F.concat(F.lit("f"), (F.col("event_id") % 4).cast("string"))
+    args = F.concat(F.lit('{"k": '), n, F.lit(', "xs": [{"a": 1}]}'))
+    shapes = [
+        F.concat(F.lit('Think [1] first. <tool_call>[{"name": "'), name, F.lit('", "arguments": '), args, F.lit("}]</tool_call> done")),
+        F.concat(F.lit('<tool_call>[{"tool_name": "'), name, F.lit('", "parameters": '), args, F.lit("}")),
+        F.concat(F.lit('So:\n```json\n[{"function": {"name": "'), name, F.lit('", "arguments": "'), F.regexp_replace(args, '"', '\\\\"'), F.lit('"}}]\n```')),
+        F.concat(F.lit('I call [{"name":"'), name, F.lit('","arguments":'), args, F.lit("}] now")),
+        F.concat(F.lit("{'Action': '"), name, F.lit("', 'Action_Input': "), args, F.lit("}")),
+        F.concat(F.lit('{"tool": "'), name, F.lit('", "id": 7, "k": '), n, F.lit(', "xs": [{"a": 1}]}')),
+        F.concat(F.lit("no call for "), name), F.concat(F.lit('{"k": '), n, F.lit("}")),
+    ]
+    text = F.get(F.array(*shapes), k.cast("int"))
+    return t.events.select("event_id", text.alias("text"))
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'closed_tag' WHEN 1 THEN 'open_tag' WHEN 2 THEN 'fence' WHEN 3 THEN 'balanced' WHEN 4 THEN 'balanced' WHEN 5 THEN 'balanced' END AS method,
+  CASE WHEN event_id % 8 < 6 THEN 'f' || (event_id % 4) END AS name, CASE WHEN event_id % 8 < 6 THEN '{"k":' || json_extract_string(props, '$.k') || ',"xs":[{"a":1}]}' END AS arguments FROM events""")
+def parse_calls(t: Tables) -> DataFrame:
+    """Calls found in model output, in whatever shape."""
+    rows = _written(t).select("event_id", calls.parse_calls(F.col("text")).alias("p"))
+    return rows.select("event_id", "p.method", F.get("p.calls", F.lit(0))["name"].alias("name"), F.get("p.calls", F.lit(0))["arguments"].alias("arguments"))
+
+
+@query("""SELECT event_id, event_id % 8 = 7 OR event_id % 8 = 5 AS strict, event_id % 8 IN (4, 5, 7) AS lenient, CASE event_id % 8 WHEN 7 THEN 0.6 WHEN 6 THEN 0.3 WHEN 4 THEN 1.0 WHEN 5 THEN 1.0 ELSE 0.3 END AS reward FROM events""")
+def dual_parse(t: Tables) -> DataFrame:
+    """Whether a whole answer reads strictly and leniently, and its format reward inside a tag."""
+    tagged = F.concat(F.lit("<tool_call_answer>"), "text", F.lit("</tool_call_answer>"))
+    return _written(t).select(
+        "event_id", F.try_parse_json("text").isNotNull().alias("strict"), calls.relaxed_json(F.col("text")).isNotNull().alias("lenient"), F.round(calls.format_reward(tagged), 6).alias("reward")
+    )
 
 
 @query(r"""SELECT template, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(regexp_replace(props, '\[[^\]]*\]', '<LIST>', 'g'), '"[^"]*"|''[^'']*''', '<STR>', 'g'), '-?\b[0-9]+(?:\.[0-9]+)?\b', '<NUM>', 'g') AS template FROM events) GROUP BY 1""")

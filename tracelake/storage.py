@@ -2,11 +2,14 @@
 
 Intermediate results are written to the folder named by ``spark.checkpoint.dir``, so a lost
 executor costs a re-read and never a wrong or missing row.  Only where that setting is absent
-(tests, notebooks) is a local folder of our own used.
+and Spark runs in one process (tests, notebooks) is a local folder of our own used, which goes with the
+process; what is written to a shared folder stays until its owner clears it.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,8 +22,12 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the shared scratch folder, read from the session on every call."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor sees")
         if not _own_root:
-            _own_root.append("file://" + tempfile.mkdtemp(prefix="tracelake-"))
+            folder = tempfile.mkdtemp(prefix="tracelake-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_root.append("file://" + folder)
         root = _own_root[0]
     return root.rstrip("/")
 
