@@ -76,20 +76,12 @@ def near_dup_clusters(t: Tables) -> DataFrame:
     return rows.join(named, "tokens").select("id", "component")
 
 
-@query("""WITH d AS (SELECT doc_id AS id, list_distinct(string_split(lower(text), ' ')) AS tokens FROM documents WHERE n_chars < 400),
+@query("""WITH d AS (SELECT doc_id AS id, list_distinct(string_split(lower(text), ' ')) AS tokens FROM documents),
 b AS (SELECT item_id AS id, list_distinct(string_split(lower(text), ' ')) AS tokens FROM benchmark),
 x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS t FROM d), y AS (SELECT id, len(tokens) AS n, unnest(tokens) AS t FROM b)
 SELECT x.id AS a_id, y.id AS b_id, count(*) * 1.0 / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM x JOIN y USING (t) GROUP BY 1, 2 HAVING count(*) * 1.0 / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.1""")
 def token_overlap(t: Tables) -> DataFrame:
-    """Short texts against seeds by token Jaccard."""
-    words = F.split(F.lower("text"), " ")
-    docs = t.documents.where("n_chars < 400").select(F.col("doc_id").alias("id"), words.alias("tokens"))
-    return cur.token_pairs(docs, t.benchmark.select(F.col("item_id").alias("id"), words.alias("tokens")), 0.1)
-
-
-@query()
-def token_overlap_all(t: Tables) -> DataFrame:
-    """Texts of any length against seeds by token Jaccard; tests hold it against all pairs."""
+    """All texts against seeds by token Jaccard."""
     words = F.split(F.lower("text"), " ")
     docs = t.documents.select(F.col("doc_id").alias("id"), words.alias("tokens"))
     return cur.seed_pairs(docs, t.benchmark.select(F.col("item_id").alias("id"), words.alias("tokens")), 0.1)

@@ -102,22 +102,15 @@ def template_normalize(t: Tables) -> DataFrame:
     return t.events.groupBy(text.template(F.col("props")).alias("template")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, abs(round(value, 3) - value) < 1e-9 AS strict9, abs(round(value, 3) - value) < 1e-6 AS loose6, abs(round(value, 3) - value) < 1e-3 AS abs3,
-  abs(round(value, 3) - value) <= 1e-6 * greatest(abs(value), abs(round(value, 3)), 1.0) AS rel6 FROM events WHERE value IS NOT NULL AND value <> floor(value) AND round(value, 3) <> floor(value)""")
-def value_match(t: Tables) -> DataFrame:
-    """Each equality policy on a value and its rounded form."""
-    rows = t.events.where("value is not null and value <> floor(value) and round(value, 3) <> floor(value)").select("event_id", F.round("value", 3).cast("string").alias("a"), F.col("value").cast("string").alias("b"))
-    return rows.select("event_id", *[scoring.value_match(F.col("a"), F.col("b"), p).alias(p) for p in ("strict9", "loose6", "abs3", "rel6")])
-
-
 @query("""SELECT event_id, coalesce(value <> floor(value) AND abs(round(value, 3) - value) < 1e-9, false) AS strict9, coalesce(abs(round(value, 3) - value) < 1e-6, false) AS loose6, coalesce(abs(round(value, 3) - value) < 1e-3, false) AS abs3,
-  coalesce(abs(round(value, 3) - value) <= 1e-6 * greatest(abs(value), abs(round(value, 3)), 1.0), false) AS rel6 FROM events""")
-def value_match_all(t: Tables) -> DataFrame:
-    """The same on every event: whole numbers are written without a point, where ``strict9`` goes by the text, and nulls never match."""
+  coalesce(abs(round(value, 3) - value) <= 1e-6 * greatest(abs(value), abs(round(value, 3)), 1.0), false) AS rel6,
+  coalesce(abs(round(value, 3) - value) < power(10.0, -CASE WHEN value = floor(value) THEN 0 ELSE length(regexp_extract(CAST(value AS VARCHAR), '[.]([0-9]+)$', 1)) END) / 2, false) AS places FROM events""")
+def value_match(t: Tables) -> DataFrame:
+    """Each equality policy on every value and its rounded form: whole numbers are written without a point, where ``strict9`` goes by the text, and nulls never match."""
     value = F.col("value")
     written = F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
     rows = t.events.select("event_id", F.round("value", 3).cast("string").alias("a"), written.alias("b"))
-    return rows.select("event_id", *[scoring.value_match(F.col("a"), F.col("b"), p).alias(p) for p in ("strict9", "loose6", "abs3", "rel6")])
+    return rows.select("event_id", *[scoring.value_match(F.col("a"), F.col("b"), p).alias(p) for p in ("strict9", "loose6", "abs3", "rel6", "places")])
 
 
 @query("""WITH p AS (SELECT user_id, count_if(event_type <> 'error') * 1.0 / count(*) AS p FROM events GROUP BY 1)
