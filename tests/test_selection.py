@@ -88,3 +88,35 @@ def test_trimmed_menu_on_little(spark):
     got = {r.k: r.m for r in rows.select("k", sel.trimmed_menu(F.col("used"), F.col("names"), F.col("k"), 2, 2).alias("m")).collect()}
     assert got[1][0] == "b" and len(got[1]) == 2
     assert (got[2], got[3], got[4]) == (["a"], ["a", "b"], [])
+
+
+def test_plain_arguments_on_odd_values(spark):
+    texts = ['{"a": "[1, \\"2, 3\\"]"}', '{"a": "[1"}', '{"a": "1"}', '{"a": "1 2\\n3"}', '{"a": "$var_1.x$"}', '{"a": "{}"}', '{"a": "1 2,3"}', "[1, 2]", "no", "", None, '{"a": ' + "[" * 3000 + "]" * 3000 + "}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.v for r in rows.select("i", calls.plain_arguments(F.col("t")).alias("v")).collect()}
+    assert [got[i] for i in range(11)] == ['{"a":[1,[2,3]]}', '{"a":"[1"}', '{"a":"1"}', '{"a":[1,2,3]}', '{"a":"$var_1.x$"}', '{"a":{}}', '{"a":"1 2,3"}', None, None, None, None]
+    assert got[11] in (None, '{"a":' + "[" * 3000 + "]" * 3000 + "}")  # deeper than the reader goes is no object
+
+
+def walk_of(rows, caps):
+    """Places of the rows accepted one after the other."""
+    used, out = {}, []
+    for at, *keys in sorted(rows):
+        held = [(i, k) for i, k in enumerate(keys) if k is not None]
+        if all(used.get(h, 0) < caps[h[0]] for h in held):
+            out.append(at)
+            for h in held:
+                used[h] = used.get(h, 0) + 1
+    return out
+
+
+def test_several_caps_is_the_walk(spark, sf):
+    rows = [(r.event_id, f"{r.user_id}:{r.event_type}", r.event_id % 31, r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()]
+    assert sorted(r[0] for r in registry.QUERIES["several_caps"](spark, sf).collect()) == walk_of(rows, [2, 8, 60])
+
+
+def test_capped_walk_on_odd_keys(spark):
+    rows = [(i, (i * 7) % 5 if i % 4 else None, (i * 3) % 4 if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, a int, b int")
+    assert sorted(r[0] for r in sel.capped_walk(df, "i", {"a": 3, "b": 2}).collect()) == walk_of(rows, [3, 2])
+    assert sel.capped_walk(df.limit(0), "i", {"a": 3, "b": 2}).count() == 0

@@ -11,6 +11,22 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(condition, F.lit(reason)) for condition, reason in checks])
 
 
+#: The scores of a trajectory in the order in which the first short of 1 names the error.
+ERROR_LADDER = {
+    "call_count_score": "wrong_call_count", "tool_name_score": "wrong_tool", "label_score": "wrong_labels", "argument_key_score": "wrong_argument_keys",
+    "argument_value_score": "wrong_argument_values", "reference_score": "wrong_references", "dependency_depth_score": "wrong_dependency_depth", "final_answer_score": "wrong_final_answer",
+}
+
+
+def trajectory_error(valid: Column, n_calls: Column, exact_answer: Column, exact: Column, scores: dict[str, Column]) -> Column:
+    """The first thing wrong with a trajectory; ``scores`` by the names of the ladder, absent and null ones count as 0."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    short = [(F.coalesce(scores.get(name, F.lit(None)).cast("double"), F.lit(0.0)) < 1.0, error) for name, error in ERROR_LADDER.items()]
+    silent = (F.coalesce(n_calls, F.lit(0)) == 0) & ~yes(exact_answer)
+    found = first_reason((~yes(valid), "invalid_json"), (silent, "missing_output"), *short, (yes(exact), "exact_match"))
+    return F.coalesce(found, F.lit("partial_match"))
+
+
 def difficulty_bucket(passes: Column, n: Column) -> Column:
     rate = passes / n
     return (

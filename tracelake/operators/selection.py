@@ -70,6 +70,33 @@ def nested_caps(df: DataFrame, outer: str, inner: str, inner_cap: int, outer_cap
     return out.drop(last)
 
 
+def capped_walk(rows: DataFrame, order: str, caps: dict[str, int]) -> DataFrame:
+    """Rows (order and the keys of ``caps``) that a walk in ``order`` accepts when no value of a key is accepted more often than its cap.
+
+    ``order`` is unique and not null; null keys are not limited.  Rounds give what the walk gives: a row is
+    accepted once it would fit even if every open row before it were, and refused once the accepted
+    ones before it fill a cap.  The first open row is always decided, and refused ones leave, so few rounds
+    are needed unless the keys chain rows one by one.
+    """
+    keys = list(caps)
+    state = unused(rows, "walk_accepted")
+    held, waiting = ([unused(rows, f"walk_{c}_{i}") for i in range(len(keys))] for c in ("held", "open"))
+    now = materialize(rows.select(order, *keys, F.lit(False).alias(state)), "walk")
+    while not now.where(~F.col(state)).isEmpty():
+        seen = now
+        for key, h, w in zip(keys, held, waiting, strict=True):
+            # Rows without a key are each on their own.
+            before = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col(order))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            count = lambda c, b=before: F.coalesce(F.sum(c.cast("int")).over(b), F.lit(0))
+            seen = seen.withColumns({h: count(F.col(state)), w: count(~F.col(state))})
+        fits, full = F.lit(True), F.lit(False)
+        for key, h, w in zip(keys, held, waiting, strict=True):
+            fits, full = fits & (F.col(h) + F.col(w) < caps[key]), full | (F.col(h) >= caps[key])
+        left = seen.where(F.col(state) | ~full)
+        now = materialize(left.select(order, *keys, (F.col(state) | fits).alias(state)), "walk")
+    return now.select(order, *keys)
+
+
 def accept_rate_stop(batches: DataFrame, run: str, batch: str, n: str, accepted: str, warmup: int, least: float) -> DataFrame:
     """Batches with ``rate``, the share accepted so far in the run, and ``ran``: no earlier one, from the ``warmup``-th on, ended below ``least``.
 

@@ -1,11 +1,11 @@
-"""Quotas with backfill, caps, signals of batches, menus and scores of turns."""
+"""Quotas with backfill, caps, signals of batches, menus, scores of turns and their errors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions import calls
+from tracelake.functions import calls, scoring
 from tracelake.operators import selection as sel
 from tracelake.operators import windows as win
 from tracelake.plans.registry import Tables, query
@@ -45,6 +45,14 @@ def tier_failure_caps(t: Tables) -> DataFrame:
     return sel.nested_caps(rows, "tier", "event_type", 15, 50, [F.col("ts"), F.col("event_id")]).select("event_id", "tier")
 
 
+@query()
+def several_caps(t: Tables) -> DataFrame:
+    """Events as they come under three caps at once; tests hold it against the walk."""
+    trace = F.concat_ws(":", "user_id", "event_type")
+    rows = t.events.select("event_id", trace.alias("trace"), (F.col("event_id") % 31).alias("template"), F.col("event_type").alias("tools"))
+    return sel.capped_walk(rows, "event_id", {"trace": 2, "template": 8, "tools": 60}).select("event_id")
+
+
 @query("""WITH b AS (SELECT user_id % 5 AS run, strftime(ts, '%Y-%m-%d') AS batch, count(*) AS n, count_if(event_type = 'purchase') AS accepted FROM events GROUP BY 1, 2),
 r AS (SELECT *, sum(accepted) OVER w * 1.0 / sum(n) OVER w AS rate, count(*) OVER w AS k FROM b WINDOW w AS (PARTITION BY run ORDER BY batch))
 SELECT run, batch, n, accepted, rate, NOT coalesce(bool_or(k >= 3 AND rate < 0.2) OVER (PARTITION BY run ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ran FROM r""")
@@ -96,3 +104,28 @@ def turn_scorer(t: Tables) -> DataFrame:
     half = F.ceil(F.size("c") / 2).cast("int")
     rows = numbered.select("l_orderkey", F.slice(every, 1, half).alias("gold"), F.slice(every, half + 1, F.size("c")).alias("pred"))
     return rows.select("l_orderkey", calls.turn_score(F.col("pred"), F.col("gold"), ("session",)).alias("s")).select("l_orderkey", "s.*")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a":[1,' || json_extract_string(props, '$.k') || ',2.5],"b":{"c":[3,-4]}}' WHEN 1 THEN '{"a":"$var_1$","b":[{"k":' || json_extract_string(props, '$.k') || '}]}'
+  WHEN 2 THEN '{"a":"' || event_type || ', ' || json_extract_string(props, '$.k') || '","b":null}' END AS args FROM events""")
+def plain_arguments(t: Tables) -> DataFrame:
+    """Arguments with JSON and lists of numbers inside strings."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [
+        F.concat(F.lit('{"b": {"c": " 3 -4"}, "a": "1, '), k, F.lit(' ,2.5"}')), F.concat(F.lit('{"a": "$var_1$", "b": "[{\\"k\\": '), k, F.lit('}]"}')),
+        F.concat(F.lit('{"a": "'), "event_type", F.lit(", "), k, F.lit('", "b": null}')), F.concat(F.lit("["), k, F.lit("]")),
+    ]
+    return t.events.select("event_id", calls.plain_arguments(F.get(F.array(*shapes), (F.col("event_id") % 4).cast("int"))).alias("args"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'invalid_json' WHEN event_id % 13 = 0 AND user_id % 2 > 0 THEN 'missing_output' WHEN event_id % 13 < 3 THEN 'wrong_call_count' WHEN user_id % 3 = 0 THEN 'wrong_tool'
+  WHEN value IS NULL OR value < 50 THEN 'wrong_argument_values' WHEN user_id % 5 = 0 THEN 'wrong_final_answer' WHEN event_id % 2 = 0 THEN 'exact_match' ELSE 'partial_match' END AS error FROM events""")
+def trajectory_errors(t: Tables) -> DataFrame:
+    """The first thing wrong with each trajectory."""
+    one, share = F.lit(1.0), lambda c: F.when(c, 1.0).otherwise(0.5)
+    scores = {name: one for name in scoring.ERROR_LADDER} | {
+        "call_count_score": share(F.col("event_id") % 13 >= 3), "tool_name_score": share(F.col("user_id") % 3 != 0),
+        "argument_value_score": F.when(F.col("value") >= 50, 1.0), "final_answer_score": share(F.col("user_id") % 5 != 0),
+    }
+    error = scoring.trajectory_error(F.col("event_type") != "error", F.col("event_id") % 13, F.col("user_id") % 2 == 0, F.col("event_id") % 2 == 0, scores)
+    return t.events.select("event_id", error.alias("error"))
