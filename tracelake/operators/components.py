@@ -15,10 +15,10 @@ from tracelake.storage import materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation on edges (u, v) with u > v; returns edges with u > v, distinct.
+    """One star operation on edges (u, v) with u > v; returns edges with u > v.
 
-    large: every neighbour above u is linked to the smallest of u and its neighbours.
-    small: u and every neighbour below it are linked to the smallest of these neighbours.
+    large: every neighbour above u is linked to the smallest of u and its neighbours; edges may repeat.
+    small: u and every neighbour below it are linked to the smallest of these neighbours; edges are distinct.
     """
     if large:
         sides = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,10 +27,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = materialize(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc_least")
     joined = sides.join(least, "u")
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = out.unionByName(least.select("u", F.col("m").alias("v")))
+        # One edge for each that came in, so repeated ones may wait for the other operation to be removed.
+        return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
