@@ -64,6 +64,21 @@ def test_stepwise_caps(rows):
     assert early["perfect"] == 0.0
 
 
+def test_bands(rows):
+    c, true = F.col, F.lit(True)
+    columns = [c("checks"), c("gold"), c("pred"), c("clean"), c("final")]
+    r = values(rows, tr.banded_reward(*columns, true, true, true, ~true))
+    assert {k: v.kind for k, v in r.items()} == {
+        "perfect": "fully_correct", "wrong_first": "wrong_tool", "other_path": "too_few_calls", "no_call": "no_tool_call", "too_many": "too_many_calls", "half_reference": "correct_tool_wrong_args",
+        "forward": "invalid_reference", "extra_key": "correct_tool_wrong_args", "empty": "no_tool_call",
+    }
+    assert (r["perfect"].reward, r["no_call"].reward) == (1.0, 0.02)
+    assert all(tr.BANDS[v.kind][0] <= v.reward <= tr.BANDS[v.kind][1] for v in r.values())
+    early = values(rows, tr.banded_reward(*columns, ~true, true, true, ~true))
+    assert early["perfect"].kind == "premature_final_nonterminal" and early["perfect"].reward == 0.04
+    assert values(rows, tr.banded_reward(*columns, true, true, ~true, ~true))["perfect"].kind == "parse_error"
+
+
 def test_dependencies_and_references(rows):
     bad = values(rows, tr.invalid_reference(F.col("pred")))
     assert bad["perfect"] is None and bad["forward"] == "future"

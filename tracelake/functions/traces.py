@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 STEPWISE_WEIGHTS = {"format": 0.10, "tools": 0.20, "values": 0.15, "references": 0.15, "dependency": 0.10, "executable": 0.10, "count": 0.10, "final": 0.10}
 STEPWISE_CAPS = {"invalid_reference": 0.10, "too_few": 0.30, "wrong_tool": 0.35, "wrong_args": 0.60, "too_many": 0.70, "wrong_final": 0.75}
 STEPWISE_FLOOR = 0.90
+BAND_WEIGHTS = {"format": 0.10, "count": 0.20, "tools": 0.20, "values": 0.20, "references": 0.10, "executable": 0.10, "final": 0.10}
+BANDS = {
+    "parse_error": (0.0, 0.0), "clipped": (0.0, 0.0), "no_tool_call": (0.02, 0.02), "premature_final_nonterminal": (0.04, 0.04), "invalid_reference": (0.05, 0.15), "wrong_tool": (0.10, 0.35),
+    "too_few_calls": (0.10, 0.45), "correct_tool_wrong_args": (0.35, 0.60), "too_many_calls": (0.45, 0.70), "executable_wrong_final": (0.60, 0.80), "fully_correct": (0.90, 1.00), "partial_progress": (0.10, 0.55),
+}
 CURRICULUM_WEIGHTS = {"format": 0.15, "count": 0.10, "name": 0.15, "labels": 0.10, "keys": 0.10, "values": 0.15, "references": 0.15, "final": 0.10}
 PROCESS_WEIGHTS = {"format": 0.10, "known": 0.15, "keys": 0.15, "types": 0.15, "references": 0.15, "executed": 0.15, "integrity": 0.15}
 
@@ -180,6 +185,41 @@ def stepwise_reward(checks: Column, gold: Column, pred: Column, clean: Column, f
     return F.when(cap.isNotNull(), F.least(score, cap)).when(right, F.greatest(score, F.lit(STEPWISE_FLOOR))).otherwise(score)
 
 
+def _dependency_share(gold: Column, pred: Column) -> Column:
+    """Share of the gold references' places at which the prediction has a reference, too; null without gold references."""
+    places = F.flatten(F.transform(gold, lambda c, i: F.transform(F.filter(c["args"], lambda e: is_reference(e["v"])), lambda e: F.struct(i.alias("i"), e["k"].alias("k")))))
+    used = F.filter(places, lambda s: F.coalesce(is_reference(value_of(F.get(pred, s["i"]), s["k"])), F.lit(False)))
+    return F.when(F.size(places) > 0, F.size(used) / F.size(places))
+
+
+def banded_reward(checks: Column, gold: Column, pred: Column, clean: Column, final: Column, terminal: Column, has_final: Column, parsed: Column, clipped: Column) -> Column:
+    """(kind, quality, reward): the first kind of failure that applies sets a band, the weighted components the place in it.
+
+    Quality is dense, so equal failures still differ; the bands keep the kinds in order whatever it is.
+    """
+    n, m, w = F.size(gold), F.size(pred), BAND_WEIGHTS
+    refs, used = valid_reference_share(pred), _dependency_share(gold, pred)
+    executable = F.when(m > 0, F.size(F.filter(clean, lambda x: x)) / m).otherwise(0.0)
+    reference = F.coalesce(refs, F.when(used.isNull(), 1.0).otherwise(0.0))
+    quality = (
+        w["format"] * _flag(parsed & ~clipped) + w["count"] * F.when(n > 0, F.least(F.lit(1.0), m / n)).otherwise(0.0) + w["tools"] * _mean(F.transform(checks, lambda t: _flag(t["name"])), n)
+        + w["values"] * _mean(F.transform(checks, lambda t: t["graded"]), n) + w["references"] * F.coalesce(0.5 * reference + 0.5 * used, reference)
+        + w["executable"] * executable + w["final"] * F.when(terminal, _flag(final)).otherwise(_flag(~has_final))
+    )
+    tools = (n > 0) & F.forall(checks, lambda t: t["name"])
+    args = F.forall(checks, lambda t: t["graded"] >= 1)
+    runs, ended = executable >= 1, F.when(terminal, final).otherwise(~has_final)
+    kinds = (
+        (~parsed, "parse_error"), (clipped, "clipped"), (m == 0, "no_tool_call"), (~terminal & has_final, "premature_final_nonterminal"), (refs < 1, "invalid_reference"),
+        (tools & args & runs & (m == n) & ended, "fully_correct"), (m < n, "too_few_calls"), ((n > 0) & ~tools, "wrong_tool"), (tools & ~args, "correct_tool_wrong_args"),
+        (m > n, "too_many_calls"), (tools & args & runs & terminal & ~final, "executable_wrong_final"),
+    )
+    kind = F.coalesce(*[F.when(condition, F.lit(name)) for condition, name in kinds], F.lit("partial_progress"))
+    in_unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality))
+    low, high = (F.element_at(F.create_map(*[F.lit(x) for name, band in BANDS.items() for x in (name, band[side])]), kind) for side in (0, 1))
+    return F.struct(kind.alias("kind"), in_unit.alias("quality"), F.round(low + (high - low) * in_unit, 6).alias("reward"))
+
+
 def curriculum_components(checks: Column, gold: Column, pred: Column, labels: Column, answered: Column, final: Column) -> Column:
     """Eight components in [0, 1] and their weighted sum; ``labels`` are the predicted calls' labels."""
     n, m = F.size(gold), F.size(pred)

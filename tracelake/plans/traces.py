@@ -29,6 +29,13 @@ _TURNS = f"""{_LINES}, t AS (SELECT g.l_orderkey, g.pos, o.final, o.n, o.m, coal
   CAST(p.x IS NOT NULL AS INTEGER) + CAST(g.r IS NULL AND p.r IS NOT NULL AS INTEGER) AS extra, CAST(p.d IS NOT NULL AS INTEGER) + CAST(p.q IS NOT NULL AS INTEGER) AS plain_there
   FROM g JOIN o USING (l_orderkey) LEFT JOIN p ON p.l_orderkey = g.l_orderkey AND p.pos = g.pos)"""
 
+#: Further CTEs: w has an order's shares of right tools, arguments, references and executed calls.
+_STEPS = """pr AS (SELECT l_orderkey, count_if(r LIKE '$%') AS refs, count_if(r LIKE '$%' AND CAST(regexp_extract(r, '([0-9]+)', 1) AS INTEGER) < pos) AS back, count_if(clean) * 1.0 / count(*) AS ran FROM p GROUP BY 1),
+s AS (SELECT l_orderkey, any_value(n) AS n, any_value(m) AS m, any_value(final) AS final, avg(CAST(name_ok AS INTEGER)) AS tools, bool_and(name_ok) AS all_tools,
+  avg(CASE WHEN there THEN (plain_ok + ref_any + 0.5 * (ref_there - ref_any)) * 1.0 / (k + extra) ELSE 0 END) AS args, bool_and(there AND plain_ok + ref_any = k AND extra = 0) AS all_args,
+  count_if(k = 3) AS gold_refs, sum(ref_any) AS used FROM t GROUP BY 1),
+w AS (SELECT s.*, back * 1.0 / nullif(refs, 0) AS refs, coalesce(ran, 0) AS ran FROM s LEFT JOIN pr USING (l_orderkey))"""
+
 
 def traces(t: Tables) -> DataFrame:
     """(l_orderkey, gold, pred, clean, final)."""
@@ -87,11 +94,7 @@ def structural_score(t: Tables) -> DataFrame:
     return out.select("l_orderkey", *_rounded("s.name_f1", "s.call_accuracy", "s.arg_ratio"), "s.full_match", "s.error")
 
 
-@query(f"""WITH {_TURNS}, pr AS (SELECT l_orderkey, count_if(r LIKE '$%') AS refs, count_if(r LIKE '$%' AND CAST(regexp_extract(r, '([0-9]+)', 1) AS INTEGER) < pos) AS back, count_if(clean) * 1.0 / count(*) AS ran FROM p GROUP BY 1),
-s AS (SELECT l_orderkey, any_value(n) AS n, any_value(m) AS m, any_value(final) AS final, avg(CAST(name_ok AS INTEGER)) AS tools, bool_and(name_ok) AS all_tools,
-  avg(CASE WHEN there THEN (plain_ok + ref_any + 0.5 * (ref_there - ref_any)) * 1.0 / (k + extra) ELSE 0 END) AS args, bool_and(there AND plain_ok + ref_any = k AND extra = 0) AS all_args,
-  count_if(k = 3) AS gold_refs, sum(ref_any) AS used FROM t GROUP BY 1),
-w AS (SELECT s.*, back * 1.0 / nullif(refs, 0) AS refs, coalesce(ran, 0) AS ran FROM s LEFT JOIN pr USING (l_orderkey)),
+@query(f"""WITH {_TURNS}, {_STEPS},
 v AS (SELECT *, 0.10 + 0.20 * tools + 0.15 * args + 0.15 * coalesce(refs, CASE WHEN gold_refs > 0 THEN 0 ELSE 1 END) + 0.10 * CASE WHEN gold_refs > 0 THEN used * 1.0 / gold_refs ELSE 1 END
   + 0.10 * ran + 0.10 * greatest(0, 1 - abs(m - n) * 1.0 / n) + 0.10 * CAST(final AS INTEGER) AS score FROM w),
 c AS (SELECT *, CASE WHEN m = 0 THEN 0.0 WHEN refs < 1 THEN 0.10 WHEN m < n THEN 0.30 WHEN NOT all_tools THEN 0.35 WHEN NOT all_args THEN 0.60 WHEN m > n THEN 0.70 WHEN ran >= 1 AND NOT final THEN 0.75 END AS cap FROM v)
@@ -103,6 +106,19 @@ def stepwise_reward(t: Tables) -> DataFrame:
     return _checked(t).select("l_orderkey", F.round(reward, 6).alias("reward"))
 
 
+@query(f"""WITH {_TURNS}, {_STEPS}, q AS (SELECT *, 0.10 + 0.20 * least(1, m * 1.0 / n) + 0.20 * tools + 0.20 * args
+  + 0.10 * CASE WHEN gold_refs > 0 THEN 0.5 * coalesce(refs, 0) + 0.5 * used / gold_refs ELSE coalesce(refs, 1) END + 0.10 * ran + 0.10 * CAST(final AS INTEGER) AS quality,
+  CASE WHEN m = 0 THEN 'no_tool_call' WHEN refs < 1 THEN 'invalid_reference' WHEN all_tools AND all_args AND ran >= 1 AND m = n AND final THEN 'fully_correct' WHEN m < n THEN 'too_few_calls'
+  WHEN NOT all_tools THEN 'wrong_tool' WHEN NOT all_args THEN 'correct_tool_wrong_args' WHEN m > n THEN 'too_many_calls' WHEN ran >= 1 AND NOT final THEN 'executable_wrong_final' ELSE 'partial_progress' END AS kind FROM w),
+b(kind, low, high) AS (VALUES {", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in tr.BANDS.items())})
+SELECT l_orderkey, kind, round(quality, 6) AS quality, round(low + (high - low) * quality, 6) AS reward FROM q JOIN b USING (kind)""")
+def banded_reward(t: Tables) -> DataFrame:
+    """A band by the first kind of failure, and the place in it by dense components."""
+    true = F.lit(True)
+    reward = tr.banded_reward(*[F.col(c) for c in ("checks", "gold", "pred", "clean", "final")], true, true, true, ~true)
+    return _checked(t).select("l_orderkey", reward.alias("s")).select("l_orderkey", "s.kind", F.round("s.quality", 6).alias("quality"), "s.reward")
+
+
 @query(f"""WITH {_TURNS}, x AS (SELECT p.l_orderkey, p.pos, CAST(regexp_extract(p.r, '([0-9]+)', 1) AS INTEGER) >= p.pos AS late, p.r LIKE '$%' AS is_ref, p.r = g.r AS same FROM p JOIN g USING (l_orderkey, pos)),
 s AS (SELECT t.l_orderkey, any_value(n) AS n, any_value(m) AS m, any_value(final) AS final, avg(CAST(name_ok AS INTEGER)) AS name, avg(CASE WHEN there THEN (plain_there + ref_there) * 1.0 / k ELSE 0 END) AS keys,
   avg(CASE WHEN there THEN (plain_ok + ref_equal) * 1.0 / k ELSE 0 END) AS vals, avg(CASE WHEN NOT there THEN 0 WHEN NOT coalesce(is_ref, false) THEN 1 WHEN late THEN 0 WHEN same THEN 1 ELSE 0 END) AS refs
