@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, embedding_dedup, line_dedup, quality, simhash, token_files, toxicity, url_lists, warc
+from tracelake.llm import bpe, conversations, decontaminate, divergence, embedding_dedup, line_dedup, quality, simhash, token_files, toxicity, url_lists, warc
 from tracelake.llm.labelled import fold
 
 
@@ -104,3 +104,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of what they decode to, for every document."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a hash of its turns, with its faults and its cheapest repair."""
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations")).drop("repaired")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from the others of its language, and by which terms from the language itself."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
