@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, conversations, decontaminate, divergence, embedding_dedup, line_dedup, quality, simhash, token_files, toxicity, url_lists, warc
+from tracelake.llm import bpe, conversations, decontaminate, divergence, embedding_dedup, line_dedup, quality, simhash, substrings, token_files, toxicity, url_lists, warc
 from tracelake.llm.labelled import fold
 
 
@@ -106,6 +106,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 words or more that the corpus has had before."""
+    out = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a hash of its turns, with its faults and its cheapest repair."""
     return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations")).drop("repaired")

@@ -16,6 +16,7 @@ _NAMES = [
     "op8_arc_to_warc",
     "op9_quality_knn",
     "op10_byte_bpe",
+    "op11_repeated_passages",
     "op12_conversation_repair",
     "op13_source_divergence",
 ]

@@ -92,6 +92,23 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 """
 
+#: Every window of 20 words beside the earliest place of its words; a word goes if such a window that begins up to 19 words before it is a later one.
+REPEATED_PASSAGES = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), words AS (
+  SELECT doc_id, s, w[s] AS word, CASE WHEN s + 19 <= len(w) THEN array_to_string(w[s:s + 19], ' ') END AS phrase FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM d)
+), judged AS (
+  SELECT *, phrase IS NOT NULL AND row_number() OVER (PARTITION BY phrase ORDER BY doc_id, s) > 1 AS later FROM words
+), covered AS (
+  SELECT *, max(CAST(later AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM judged
+), left_over AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone), '') AS kept FROM covered GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
 #: Every kept term for every group, zero counts included, and every pair of groups over them.
 DIVERGENCE = """
 WITH d AS (
@@ -188,6 +205,7 @@ ORACLE: dict[str, str] = {
     "op4_url_lists": URL_LISTS,
     "op3_embedding_near_dedup": EMBEDDINGS,
     "op1_line_dedup": LINE_DEDUP.format(docs="documents"),
+    "op11_repeated_passages": REPEATED_PASSAGES,
     "op12_conversation_repair": _conversations_sql(),
     "op13_source_divergence": DIVERGENCE,
 }
