@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm import membership
 from tracelake.llm.text import ascii_lower, unused
 from tracelake.storage import materialize
 
@@ -112,8 +113,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     rows = _prepared(docs, id_col, text_col)
     planned = plan_items(rows, _items(benchmark, item_col, text_col), window)
     aligned = alignments(postings(rows, planned), planned).withColumnsRenamed({"id": "aid", "th": "ath"})
-    # What aligns grows with the corpus, so it is shuffled to the texts at every size.
-    found = rows.join(aligned.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")))
+    # What aligns grows with the corpus, so it is shuffled, to the texts that may align; the others stay where they are.
+    may = membership.with_membership(rows, F.col("th"), membership.bitmaps(F.col("ath"), aligned), "maybe").where("maybe").drop("maybe")
+    found = may.join(aligned.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")))
     found = found.select("id", "th", _raw_words(F.col("text")).alias("raw"), "ik", "diag", "wins")
     found = found.join(_few(planned.select("ik", "item", "words", "len"), "words"), "ik")
     same = lambda w: (F.col("diag") + w["s"] >= 0) & (
@@ -169,5 +171,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     matches = phrase_matches(docs, benchmark, window, id_col, text_col, item_col)
     bad_id, bad_text = unused(docs, "bad_id"), unused(docs, "bad_text")
     bad = materialize(matches.select(F.col("id").alias(bad_id), F.col("th").alias(bad_text)).distinct(), "decon_bad")
-    hit = docs[id_col].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text_col]) == F.col(bad_text))
-    return docs.join(bad.hint("shuffle_hash"), hit, "left_anti")
+    hash_of, may = F.xxhash64(F.col(f"`{text_col}`")), unused(docs, "bad_may")
+    hit = F.col(f"`{id_col}`").eqNullSafe(F.col(bad_id)) & (hash_of == F.col(bad_text))
+    marked = membership.with_membership(docs, hash_of, membership.bitmaps(F.col(bad_text), bad), may)
+    return marked.where(~F.col(may)).unionByName(marked.where(may).join(bad.hint("shuffle_hash"), hit, "left_anti")).drop(may)
