@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions import calls, scoring
+from tracelake.functions import assignment, calls, scoring
 from tracelake.plans.grading import _sequences
 from tracelake.plans.registry import Tables, query
 from tracelake.plans.rollups import LINE_ORDER
@@ -107,7 +107,7 @@ def difficulty_by_count(t: Tables) -> DataFrame:
 def aligned_accuracy(t: Tables) -> DataFrame:
     """Step lists of unlike lengths aligned by name."""
     shorter = F.filter("pred", lambda x, i: i % 4 != 3)
-    return _sequences(t).select("l_orderkey", calls.aligned_accuracy(F.col("gold"), shorter).alias("accuracy"))
+    return _sequences(t).select("l_orderkey", assignment.aligned_accuracy(F.col("gold"), shorter).alias("accuracy"))
 
 
 @query()
