@@ -100,6 +100,52 @@ def test_grounding_in_words(spark):
     assert share("Take twelve of 1,500 at 2.5", "12", "1500", "2.5", "7") == 0.75
     assert share("Thirty apples in box 15", "30", "5") == 0.5
     assert share("nothing", "true", "$var_1$") == 1.0
+    assert share("Take -5 apples", "-5") == 1.0 and share("Take 5 of them", "five", "Five!") == 1.0 and share("at thirty", "thirty", "30", "3") == 2 / 3
+    assert share("costs 1,000,000.", "1000000", "1000000.0") == 1.0 and share("box 15", "5", "", "-") == 0.0 and share("New-York City", "new york", "york c") == 0.5
+
+
+def test_judges_answers(spark):
+    score = lambda t: spark.createDataFrame([(t,)], "t string").select(va.judge_score(F.col("t")).alias("x")).first().x
+    rows = {"3": 3, "17 out of 20": 1, "Of 3 criteria... Score: 4": 3, "I'd rate it four": 4, "Four or FIVE": 4, "90 %": None, "": None, "score 0 or 6": None, "someone": 1, "8/5": 5}
+    assert {t: score(t) for t in rows} == rows and score(None) is None
+
+
+def test_ast_match_goes_by_values(spark):
+    kind = "array<struct<name: string, args: array<struct<k: string, v: string>>>>"
+    one = lambda name, **args: (name, [(k, v) for k, v in args.items()])
+    cases = [
+        ([one("f", a="1, b = 2")], [one("f", a="1", b="2")], False), ([one("f", a="1")], [one("f", a="1.0")], True), ([one("f", a="x  y")], [one("f", a=" x y")], True),
+        ([one("f", a="1"), one("f", a="2")], [one("f", a="2"), one("f", a="1")], True), ([one("f", a="1")], [one("f", a="1"), one("f", a="1")], False), ([], [], True), ([], [one("f")], False),
+        ([one("f", a="1")] * 2, [one("f", a="1"), one("f", a="2")], False), ([one("f", a="X")], [one("f", a="x")], False), ([one("f", a="1", b="2")], [one("f", b="2", a="1")], True),
+        ([one("f", a=None)], [one("f", a=None)], True), ([one("f", a=None)], [one("f", a="1")], False),
+    ]
+    df = spark.createDataFrame([(i, g, p) for i, (g, p, _) in enumerate(cases)], f"i int, g {kind}, p {kind}")
+    got = {r.i: r.m for r in df.select("i", tr.ast_match(F.col("g"), F.col("p")).alias("m")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+
+
+def test_greedy_take_is_the_walk(spark, sf):
+    from tracelake.plans import registry
+
+    df = spark.createDataFrame([("x", "o1", "p", 3), ("y", "o1", "p", 2), ("y", "o3", "p", 1), (None, None, "p", 0)], "i string, o string, pat string, score int")
+    take = lambda cap: sorted(r.score for r in matching.greedy_take(df, [-F.col("score")], ["i", "o"], "pat", cap).collect())
+    assert (take(9), take(2)) == ([0, 1, 3], [1, 3])
+    names, outputs, brands, want = set(), set(), {}, []
+    for r in sorted(spark.read.parquet(f"{sf}/part.parquet").collect(), key=lambda r: (-r.p_retailprice, r.p_partkey)):
+        out = f"{r.p_brand}|{r.p_type}|{r.p_size}"
+        if r.p_name not in names and out not in outputs and brands.get(r.p_brand, 0) < 20:
+            names.add(r.p_name)
+            outputs.add(out)
+            brands[r.p_brand] = brands.get(r.p_brand, 0) + 1
+            want.append(r.p_partkey)
+    assert sorted(r.p_partkey for r in registry.QUERIES["greedy_take"](spark, sf).collect()) == sorted(want)
+
+
+def test_nearest_number(spark):
+    rows = spark.createDataFrame([(1, "a", 5.0), (2, "a", 7.0), (3, "a", None), (4, "b", 1.0), (5, None, 1.0), (6, "a", float("nan")), (7, "a", -9.0), (8, "a", 6.0)], "r int, b string, x double")
+    pool = spark.createDataFrame([(20, "a", 7.0), (10, "a", 7.0), (30, "a", 5.0), (40, "a", None), (50, None, 1.0), (5, "a", 7.0)], "p int, b string, y double")
+    got = sorted(tuple(r) for r in matching.nearest_number(rows, pool, "b", "x", "y", "r", "p").collect())
+    assert got == [(1, 30, 0.0), (2, 5, 0.0), (7, 30, -14.0), (8, 5, -1.0)]
 
 
 def test_quotas():

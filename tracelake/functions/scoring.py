@@ -55,6 +55,7 @@ def value_match(a: Column, b: Column, policy: str) -> Column:
 
     - ``strict9``: numbers within 1e-9 of each other unless both are written without a point, when the
       text decides; else text without its white space.
+    - ``typed9``: numbers within 1e-9, however they are written; else text with single blanks.
     - ``loose6``: numbers within 1e-6; else lower case without marks at the end.
     - ``abs3``: numbers within 1e-3; else text.
     - ``rel6``: numbers within 1e-6 of the larger; else text.
@@ -67,6 +68,9 @@ def value_match(a: Column, b: Column, policy: str) -> Column:
     end = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[.,;:!?]+$", "")
     if policy == "strict9":
         out = F.when(numbers & ~whole, F.abs(x - y) < 1e-9).otherwise(bare(a) == bare(b))
+    elif policy == "typed9":
+        single = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+        out = F.when(numbers, F.abs(x - y) < 1e-9).otherwise(single(a) == single(b))
     elif policy == "loose6":
         out = F.when(numbers, F.abs(x - y) < 1e-6).otherwise(end(a) == end(b))
     elif policy == "abs3":

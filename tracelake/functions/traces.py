@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions import scoring
+
 #: Component weights and caps of the rewards, which results depend on.
 STEPWISE_WEIGHTS = {"format": 0.10, "tools": 0.20, "values": 0.15, "references": 0.15, "dependency": 0.10, "executable": 0.10, "count": 0.10, "final": 0.10}
 STEPWISE_CAPS = {"invalid_reference": 0.10, "too_few": 0.30, "wrong_tool": 0.35, "wrong_args": 0.60, "too_many": 0.70, "wrong_final": 0.75}
@@ -136,9 +138,21 @@ def structural_score(checks: Column, gold: Column, pred: Column) -> Column:
     )
 
 
-def ast_match(gold: Column, pred: Column) -> Column:
-    """Whether each gold call is among the predictions, each used once, and there are no others."""
-    return F.array_sort(F.transform(gold, step_text)) == F.array_sort(F.transform(pred, step_text))
+def same_call(gold: Column, pred: Column, policy: str = "typed9") -> Column:
+    """Equal names, equal sets of keys, and equal values under ``policy``; null values are equal."""
+    paired = lambda e: F.exists(pred["args"], lambda o: (o["k"] == e["k"]) & (o["v"].eqNullSafe(e["v"]) | scoring.value_match(o["v"], e["v"], policy)))
+    return (gold["name"] == pred["name"]) & (F.size(gold["args"]) == F.size(pred["args"])) & F.forall(gold["args"], paired)
+
+
+def ast_match(gold: Column, pred: Column, policy: str = "typed9") -> Column:
+    """Whether each gold call in turn finds a free prediction that is the same call, and no prediction is left; keys of a call are distinct."""
+
+    def take(used: Column, call: Column) -> Column:
+        free = F.filter(F.transform(pred, lambda p, j: F.when(same_call(call, p, policy) & ~F.array_contains(used, j), j)), lambda j: j.isNotNull())
+        return F.when(F.size(free) > 0, F.array_append(used, F.get(free, F.lit(0)))).otherwise(used)
+
+    found = F.size(F.aggregate(gold, F.array().cast("array<int>"), take))
+    return (F.size(gold) == F.size(pred)) & (found == F.size(gold))
 
 
 def category_check(gold: Column, pred: Column, category: Column, optional: Column) -> Column:

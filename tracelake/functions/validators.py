@@ -82,24 +82,33 @@ def call_schema_reason(calls: Column, known: Column, required: Column) -> Column
     return F.when(F.coalesce(F.size(calls), F.lit(0)) <= 0, "no_calls").otherwise(F.get(found, F.lit(0)))
 
 
+def _words(text: Column) -> Column:
+    """Lower-case words of a-z and digits with blanks around each; whatever else stands there is between words."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
 def grounding_variants(value: Column) -> Column:
-    """How a value may stand in a question: as it is, with thousands set apart, as a word."""
+    """How a value may stand in a question, as words with blanks around: as it is, as a whole number, with thousands set apart, as a number word or as the number that a word names."""
     number = value.try_cast("double")
     whole = F.when(number == F.floor(number), number.cast("long"))
     word = F.when(whole.between(0, 19), F.get(F.array(*map(F.lit, UNITS)), whole.cast("int"))).when(
         whole.between(20, 90) & (whole % 10 == 0), F.get(F.array(*map(F.lit, TENS)), (whole / 10 - 2).cast("int"))
     )
     grouped = F.when(F.abs(whole) >= 1000, F.format_number(whole, 0))
-    return F.filter(F.array(F.lower(F.trim(value)), whole.cast("string"), grouped, word), lambda x: x.isNotNull())
+    bare = F.trim(_words(value))
+    place = lambda names: F.array_position(F.array(*map(F.lit, names)), bare).cast("int")
+    named = F.when(place(UNITS) > 0, place(UNITS) - 1).when(place(TENS) > 0, 10 * (place(TENS) + 1)).cast("string")
+    return F.filter(F.transform(F.array(value, whole.cast("string"), grouped, word, named), _words), lambda x: F.trim(x) != "")
 
 
 def grounded_share(question: Column, values: Column) -> Column:
-    """Share of values that a question names as whole words; null values, booleans and references do not count, and 1 if none is left."""
+    """Share of values that a question names as whole words; null values, booleans and references do not count, and 1 if none is left.
+
+    Question and values are compared as words of a-z and digits in lower case, so signs, points and other scripts do not tell two apart; a value without such a word is never named.
+    """
     counted = F.filter(values, lambda v: v.isNotNull() & ~F.lower(v).isin("true", "false") & ~v.rlike(r"^\$.*\$$"))
-    plain = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N},.]+", " ")
-    # A value stands between characters that are no part of a word; dots and commas in it are no pattern.
-    named = lambda x: F.regexp_like(plain(question), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.regexp_replace(plain(x), "([.,])", r"[$1]"), F.lit(r"(?![\p{L}\p{N}])")))
-    hit = F.filter(counted, lambda v: F.exists(grounding_variants(v), named))
+    asked = F.coalesce(_words(question), F.lit(" "))
+    hit = F.filter(counted, lambda v: F.exists(grounding_variants(v), lambda x: F.contains(asked, x)))
     return F.when(F.size(counted) == 0, 1.0).otherwise(F.size(hit) / F.size(counted))
 
 
@@ -131,6 +140,8 @@ def sample_quality(question: Column, n_calls: Column, n_tools: Column) -> Column
 
 
 def judge_score(text: Column) -> Column:
-    """A score of 1 to 5 out of a judge's answer: in a tag, after 'score', out of five, or the first lone digit."""
-    ways = [r"(?i)<score>\s*([1-5])\s*</score>", r"(?i)\bscore\W{0,3}\s*([1-5])\b", r"\b([1-5])\s*/\s*5\b", r"(?<![0-9.])([1-5])(?![0-9.])"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, w, 1), F.lit("")).cast("int") for w in ways])
+    """A judge's score of 1 to 5: the first of these digits, wherever it stands, else the smallest number that is spelled in the answer, inside words, too; null if there is neither."""
+    spelled = F.lit(None).cast("int")
+    for score in range(5, 0, -1):
+        spelled = F.when(F.contains(F.lower(text), F.lit(UNITS[score])), score).otherwise(spelled)
+    return F.coalesce(F.nullif(F.regexp_extract(text, "[1-5]", 0), F.lit("")).cast("int"), spelled)

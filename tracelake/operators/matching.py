@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.operators.components import connected_components
 from tracelake.operators.curation import token_pairs
 from tracelake.operators.names import unused
+from tracelake.operators.selection import capped_walk
 
 
 def with_fallback(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,17 +28,35 @@ def nearest(rows: DataFrame, pool: DataFrame, blocks: Sequence[str], score: Colu
     return pairs.groupBy(row_id).agg(best.alias("best")).select(row_id, F.col(f"best.{pool_id}").alias(pool_id), "best.score")
 
 
+def nearest_number(rows: DataFrame, pool: DataFrame, block: str, row_value: str, pool_value: str, row_id: str, pool_id: str) -> DataFrame:
+    """(row_id, pool_id, score): for each row the row of ``pool`` in its block whose number is nearest, ties to the smallest id; score is minus the distance.
+
+    Both tables are sorted by their numbers, and only the pool's last number below a row and the first above it are looked
+    at.  Null and NaN numbers have and are no neighbours; a row without a common block is left out.
+    """
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    least = pool.where(real(pool_value)).groupBy(F.col(block).alias("b"), F.col(pool_value).cast("double").alias("x")).agg(F.min(pool_id).alias("p"))
+    asked = rows.where(real(row_value)).select(F.col(block).alias("b"), F.col(row_value).cast("double").alias("x"), F.col(row_id).alias("r"), F.lit(True).alias("asks"))
+    both = asked.unionByName(least.select("b", "x", "p", F.lit(False).alias("asks")), allowMissingColumns=True)
+    own = F.when(~F.col("asks"), F.struct("x", "p"))
+    order = Window.partitionBy("b").orderBy("x", "asks")  # of equal numbers the pool's comes first
+    below = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = both.select("b", "r", "x", "asks", below.alias("below"), above.alias("above")).where("asks and b is not null")
+    one = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("x") - F.col(side)["x"]).alias("d"), F.col(side)["p"].alias("p")))
+    best = met.select("r", F.least(one("below"), one("above")).alias("best")).where("best is not null")
+    return best.select(F.col("r").alias(row_id), F.col("best.p").alias(pool_id), (-F.col("best.d")).alias("score"))
+
+
 def greedy_take(rows: DataFrame, order: Sequence[Column], unique: Sequence[str], pattern: str, cap: int) -> DataFrame:
-    """Rows that stay when, in ``order``, the first of each value of every ``unique`` column is taken and at most ``cap`` of a pattern.
+    """Rows that a walk in rising ``order`` takes: none whose value of a ``unique`` column was taken before, and at most ``cap`` of a pattern.
 
-    The columns are settled one after the other, each on what the last one left, and the cap last.
+    ``order`` is unique and not null as a whole; null values are not limited.  A row that is refused uses nothing up.
     """
-    out = rows
-    for column in unique:
-        at = unused(out, "nth")
-        out = out.withColumn(at, F.row_number().over(Window.partitionBy(column).orderBy(*order))).where(F.col(at) == 1).drop(at)
-    at = unused(out, "nth")
-    return out.withColumn(at, F.row_number().over(Window.partitionBy(pattern).orderBy(*order))).where(F.col(at) <= cap).drop(at)
+    at = unused(rows, "walk_at")
+    placed = rows.withColumn(at, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    taken = capped_walk(placed, at, {c: 1 for c in unique} | {pattern: cap}).select(at)
+    return placed.join(taken, at, "left_semi").drop(at)
 
 
 def quotas(available: dict[str, int], weights: dict[str, float], n: int) -> dict[str, int]:

@@ -60,7 +60,7 @@ SELECT c_custkey, s_suppkey, round(score, 6) AS score FROM p WHERE nth = 1""")
 def nearest_neighbour(t: Tables) -> DataFrame:
     """For each row the nearest of another table in its block."""
     rows, pool = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal"), t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    return m.nearest(rows, pool, ["nation"], -F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "c_custkey", "s_suppkey").withColumn("score", F.round("score", 6))
+    return m.nearest_number(rows, pool, "nation", "c_acctbal", "s_acctbal", "c_custkey", "s_suppkey").withColumn("score", F.round("score", 6))
 
 
 @query("""WITH r AS (SELECT user_id, event_id % 2 AS epoch, value, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS slot FROM events)
@@ -142,12 +142,11 @@ def window_frames(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.ntile(4).over(own).cast("long").alias("quarter"), after.alias("next_failed"), near.alias("near"))
 
 
-@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS i FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_retailprice DESC, p_partkey) AS j FROM a WHERE i = 1),
-c AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM b WHERE j = 1) SELECT p_partkey, p_brand FROM c WHERE k <= 20""")
+@query()
 def greedy_take(t: Tables) -> DataFrame:
-    """The best rows with unlike inputs and outputs, at most twenty of a pattern."""
+    """The best rows with unlike inputs and outputs, at most twenty of a pattern; tests hold it against the walk."""
     rows = t.part.select("p_partkey", "p_brand", "p_name", "p_retailprice", F.concat_ws("|", "p_brand", "p_type", "p_size").alias("output"))
-    return m.greedy_take(rows, [F.desc("p_retailprice"), F.asc("p_partkey")], ["p_name", "output"], "p_brand", 20).select("p_partkey", "p_brand")
+    return m.greedy_take(rows, [-F.col("p_retailprice"), F.col("p_partkey")], ["p_name", "output"], "p_brand", 20).select("p_partkey", "p_brand")
 
 
 @query()

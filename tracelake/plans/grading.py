@@ -79,7 +79,7 @@ def _written(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.alias("text"))
 
 
-@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'closed_tag' WHEN 1 THEN 'open_tag' WHEN 2 THEN 'fence' WHEN 3 THEN 'balanced' WHEN 4 THEN 'balanced' WHEN 5 THEN 'balanced' END AS method,
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'tag_closed' WHEN 1 THEN 'tag_unclosed' WHEN 2 THEN 'fenced_json' WHEN 3 THEN 'json_in_text' WHEN 4 THEN 'json_in_text' WHEN 5 THEN 'json_in_text' ELSE 'unparseable' END AS method,
   CASE WHEN event_id % 8 < 6 THEN 'f' || (event_id % 4) END AS name, CASE WHEN event_id % 8 < 6 THEN '{"k":' || json_extract_string(props, '$.k') || ',"xs":[{"a":1}]}' END AS arguments FROM events""")
 def parse_calls(t: Tables) -> DataFrame:
     """Calls found in model output, in whatever shape."""

@@ -80,13 +80,13 @@ def step_samples(t: Tables) -> DataFrame:
     return win.top_k(t.events.select("event_id", F.date_trunc("hour", "ts").alias("step")), ["step"], [F.col("event_id")], 2)
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS c FROM part), u AS (SELECT DISTINCT l_orderkey AS k, p_brand AS c FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 6),
-a AS (SELECT k, c, c IN (SELECT c FROM u WHERE u.k = o.k) AS used FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber <= 6) o, c),
+@query("""WITH c AS (SELECT DISTINCT p_brand AS c FROM part), u AS (SELECT DISTINCT l_orderkey AS k, p_brand AS c FROM lineitem JOIN part ON p_partkey = l_partkey),
+a AS (SELECT k, c, c IN (SELECT c FROM u WHERE u.k = o.k) AS used FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY NOT used, CASE WHEN used THEN c ELSE md5(k || ':' || c) END, c) AS r, count_if(used) OVER (PARTITION BY k) AS n FROM a)
 SELECT k AS l_orderkey, string_agg(c, ',' ORDER BY r) AS menu FROM r WHERE r <= least(5, greatest(n, 4)) GROUP BY k""")
 def menu_trim(t: Tables) -> DataFrame:
     """The brands of an order and others up to four, five at most."""
-    used = t.lineitem.where("l_linenumber <= 6").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_brand"), "p_partkey")
+    used = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_brand"), "p_partkey")
     # The catalogue is the list of brands, a few dozen at every size.
     catalog = t.part.agg(F.array_sort(F.collect_set("p_brand")).alias("catalog"))
     menus = used.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("own")).join(F.broadcast(catalog), F.lit(True))

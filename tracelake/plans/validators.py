@@ -63,16 +63,17 @@ def call_schema(t: Tables) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT o_orderkey AS k, 6 + o_orderkey % 19 AS a FROM orders)
-SELECT k, round((CAST(k % 3 <> 0 AND (k % 2 = 0 OR a <= 20) AS INTEGER) + CAST(k % 5 <> 0 AS INTEGER) + CAST(k % 4 <> 0 AS INTEGER)) / 3.0, 6) AS share FROM x""")
+SELECT k, round((CAST(k % 3 <> 0 AND (k % 2 = 0 OR a <= 20) AS INTEGER) + CAST(k % 5 <> 0 AS INTEGER) + CAST(k % 4 <> 0 AS INTEGER) + CAST(k % 7 <> 0 AS INTEGER) + CAST(k % 11 <> 0 AS INTEGER)) / 5.0, 6) AS share FROM x""")
 def value_grounding(t: Tables) -> DataFrame:
     """Argument values that a question names: a number by its digits or its word, a larger one with its thousands set apart, a label."""
     k, a, b = F.col("o_orderkey"), 6 + F.col("o_orderkey") % 19, (1_000_000 + F.col("o_custkey") * 7).cast("long")
     word = F.get(F.array(*map(F.lit, validators.UNITS), F.lit("twenty")), a.cast("int"))
     parts = [
         F.when(k % 3 != 0, F.when(k % 2 == 0, a.cast("string")).otherwise(F.coalesce(word, F.lit("many")))), F.when(k % 5 != 0, F.format_number(b, 0)), F.when(k % 4 != 0, F.upper("o_orderpriority")),
+        F.when(k % 7 != 0, F.lit("-4711")), F.when(k % 11 != 0, F.lit("60")),
     ]
     question = F.concat_ws(" and then ", F.lit("Take"), *parts)
-    values = F.array(a.cast("string"), b.cast("string"), F.col("o_orderpriority"), F.lit("true"), F.lit("$var_1.result$"), F.lit(None))
+    values = F.array(a.cast("string"), b.cast("string"), F.col("o_orderpriority"), F.lit("-4711"), F.lit("sixty"), F.lit("true"), F.lit("$var_1.result$"), F.lit(None))
     return t.orders.select(k.alias("k"), F.round(validators.grounded_share(question, values), 6).alias("share"))
 
 
@@ -97,17 +98,20 @@ def solver_gap(t: Tables) -> DataFrame:
     return s.select("l_orderkey", validators.solver_gap(F.col("weak"), strong, 0.4, 0.3 - 1e-12, 0.7).alias("reason"))
 
 
-@query("""WITH s AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS u, count_if(event_type = 'error') * 1.0 / count(*) AS parse, count_if(event_type = 'purchase' AND value > 60) * 1.0 / count(*) AS success,
-  (max(value) - min(value)) / 2000 AS spread FROM events GROUP BY 1)
-SELECT user_id, (n > 10 AND ((spread >= 0.01 AND spread < 0.05 AND success = 0) OR (u = 2 AND spread < 0.05 AND u <= 1) OR (parse >= 0.2 AND success = 0) OR abs(parse - 0.25) < 0.001)) AS borderline FROM s WHERE spread IS NOT NULL""")
+@query("""WITH s AS (SELECT user_id, count(*) AS n, count(DISTINCT CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN event_id % 2 ELSE event_id % 5 END) AS u, count(DISTINCT CASE WHEN user_id % 2 = 0 THEN event_type = 'error' ELSE true END) AS k, count_if(event_type = 'error') * 1.0 / count(*) AS parse, count_if(event_type = 'purchase' AND value > 60) * 1.0 / count(*) AS success,
+  coalesce((max(value) - min(value)) / 2000, 0) AS spread FROM events GROUP BY 1)
+SELECT user_id, (n > 10 AND ((spread >= 0.01 AND spread < 0.05 AND success = 0) OR (u = 2 AND spread < 0.05 AND k <= 1) OR (parse >= 0.2 AND success = 0) OR abs(parse - 0.25) < 0.001)) AS borderline FROM s""")
 def borderline_probe(t: Tables) -> DataFrame:
-    """Groups to be probed again."""
+    """Groups to be probed again; a group without values has no spread."""
+    user, event = F.col("user_id"), F.col("event_id")
+    rewards = F.when(user % 3 == 0, 0).when(user % 3 == 1, event % 2).otherwise(event % 5)
+    kinds = F.when(user % 2 == 0, F.col("event_type") == "error").otherwise(True)
     share = lambda c: F.count_if(c) / F.count("*")
     s = t.events.groupBy("user_id").agg(
-        F.count("*").alias("n"), F.countDistinct("event_type").alias("u"), share(F.col("event_type") == "error").alias("parse"),
-        share((F.col("event_type") == "purchase") & (F.col("value") > 60)).alias("success"), ((F.max("value") - F.min("value")) / 2000).alias("spread"),
-    ).where("spread is not null")
-    return s.select("user_id", validators.borderline(F.col("n") > 10, *[F.col(c) for c in ("spread", "success", "parse", "u", "u")], most_parse=0.25).alias("borderline"))
+        F.count("*").alias("n"), F.countDistinct(rewards).alias("u"), F.countDistinct(kinds).alias("k"), share(F.col("event_type") == "error").alias("parse"),
+        share((F.col("event_type") == "purchase") & (F.col("value") > 60)).alias("success"), F.coalesce((F.max("value") - F.min("value")) / 2000, F.lit(0.0)).alias("spread"),
+    )
+    return s.select("user_id", validators.borderline(F.col("n") > 10, *[F.col(c) for c in ("spread", "success", "parse", "u", "k")], most_parse=0.25).alias("borderline"))
 
 
 @query(f"""WITH {_LINES}, e AS (SELECT a.l_orderkey, a.pos, left(b.name, 1) AS made, left(a.name, 1) AS wants FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND b.pos = a.pos - 1 WHERE a.r IS NOT NULL)
@@ -129,13 +133,13 @@ def sample_quality(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.round(score, 6).alias("score"))
 
 
-@query("""SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN 1 + event_id % 5 WHEN 1 THEN 1 + event_id % 5 WHEN 2 THEN 1 + event_id % 5 WHEN 3 THEN 1 + event_id % 5 END AS INTEGER) AS score FROM events""")
+@query("""SELECT event_id, CAST(CASE event_id % 7 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 + event_id % 5 WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 + event_id % 5 END AS INTEGER) AS score FROM events""")
 def judge_scores(t: Tables) -> DataFrame:
-    """Scores out of answers written in four ways, and of two that hold none."""
-    k, s = F.col("event_id") % 6, (1 + F.col("event_id") % 5).cast("string")
+    """Scores out of answers in which the first digit is right or not, of a spelled one, and of one that holds none."""
+    k, s = F.col("event_id") % 7, (1 + F.col("event_id") % 5).cast("string")
     answer = (
         F.when(k == 0, F.concat(F.lit("4 points are fair. <score> "), s, F.lit(" </score>"))).when(k == 1, F.concat(F.lit("Of 3 criteria... Score: "), s)).when(k == 2, F.concat(F.lit("I give it "), s, F.lit("/5.")))
-        .when(k == 3, F.concat(F.lit("It was 10.5 s, so "), s, F.lit(" it is"))).when(k == 4, "no number at all").otherwise("17 out of 20")
+        .when(k == 3, F.concat(F.lit("It was 10.5 s, so "), s, F.lit(" it is"))).when(k == 4, "no digit at all").when(k == 5, "17 out of 20").otherwise(F.concat(F.lit("I rate it "), F.get(F.array(*[F.lit(x.upper()) for x in validators.UNITS[1:6]]), (F.col("event_id") % 5).cast("int"))))
     )
     return t.events.select("event_id", validators.judge_score(answer).alias("score"))
 
