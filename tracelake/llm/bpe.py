@@ -27,6 +27,8 @@ from tracelake.llm.pieces import PieceEncoder
 
 #: Documents whose new pieces a worker encodes together.
 _BATCH = 2048
+#: A worker forgets its pieces once they take about so many bytes: it may be one that earlier stages have left large.
+REMEMBERED_BYTES = 64 << 20
 
 
 class Ranks:
@@ -170,7 +172,7 @@ class ByteBpe:
         self.ranks = Ranks(path)
         self.matches = regex.compile(pattern).findall
         self._code = "H" if max(self.ranks.bytes_of) < 1 << 16 else "I"
-        self.encode_packed = PieceEncoder(self.matches, self._encode_matches)
+        self.encode_packed = PieceEncoder(self.matches, self._encode_matches, bound=REMEMBERED_BYTES)
         self._decimal = [str(i) for i in range(max(self.ranks.bytes_of) + 1)]
 
     def _encode_matches(self, matches: Iterable[str]) -> Iterator[bytes]:
