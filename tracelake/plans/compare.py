@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import aggregates as agg
 from tracelake.operators import matching as m
+from tracelake.operators import similarity as sim
 from tracelake.plans.registry import Tables, query
 
 _MONTHLY = """monthly AS (SELECT o_orderpriority AS arm, year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, count_if(o_orderstatus = 'F') AS won FROM orders GROUP BY 1, 2, 3)"""
@@ -63,6 +64,27 @@ def nearest_neighbour(t: Tables) -> DataFrame:
     return m.nearest_number(rows, pool, "nation", "c_acctbal", "s_acctbal", "c_custkey", "s_suppkey").withColumn("score", F.round("score", 6))
 
 
+def structures(t: Tables) -> DataFrame:
+    """An order's lines as a trace: suppliers are tools, return flags families, the priority its motif, discounts references."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount")
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    tool = F.transform("lines", lambda x: F.concat(F.lit("s"), x["l_suppkey"].cast("string")))
+    traces = rows.select(
+        F.col("l_orderkey").alias("o_orderkey"), F.size("lines").alias("calls"), F.array_distinct(tool).alias("tools"), F.array_join(tool, "->").alias("sequence"),
+        F.when(F.size("lines") >= 3, F.array_join(F.slice(tool, 1, 3), "->")).otherwise("").alias("trigram"), F.array_distinct(F.transform("lines", lambda x: x["l_returnflag"])).alias("families"),
+        (F.size(F.array_distinct(F.transform("lines", lambda x: x["l_linestatus"]))) == 1).alias("linear"), F.size(F.filter("lines", lambda x: x["l_discount"] > 0.05)).alias("references"),
+    )
+    return traces.join(t.orders.select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("motif")), "o_orderkey")
+
+
+@query()
+def nearest_trace(t: Tables) -> DataFrame:
+    """For each finished order the structurally nearest of the others; tests hold it against all pairs."""
+    rows = structures(t)
+    pool = rows.where("o_orderstatus <> 'F'").withColumnRenamed("o_orderkey", "near_orderkey")
+    return sim.nearest_structure(rows.where("o_orderstatus = 'F'"), pool, "o_orderkey", "near_orderkey")
+
+
 @query("""WITH r AS (SELECT user_id, event_id % 2 AS epoch, value, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS slot FROM events)
 SELECT a.user_id, count(*) AS slots, count_if(b.value > a.value) AS better FROM r a JOIN r b ON a.user_id = b.user_id AND a.slot = b.slot AND a.epoch = 0 AND b.epoch = 1 GROUP BY 1""")
 def slot_join(t: Tables) -> DataFrame:
