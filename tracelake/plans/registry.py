@@ -37,4 +37,4 @@ def query(sql: str | None = None, bigint: str = "") -> Callable:
     return register
 
 
-from tracelake.plans import compare, curation, gates, grading, ordered, resampled, rollups, selection, statistics, streams, traces, validators  # noqa: E402, F401
+from tracelake.plans import compare, curation, gates, grading, ordered, resampled, rollups, selection, sourced, statistics, streams, traces, validators  # noqa: E402, F401
