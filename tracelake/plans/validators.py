@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions import text, validators
+from tracelake.functions import alignment, text, validators
 from tracelake.plans.registry import Tables, query
 from tracelake.plans.traces import _LINES, traces
 
@@ -152,3 +152,28 @@ def text_extracts(t: Tables) -> DataFrame:
     preview = F.concat(F.substring("html", 1, 40), F.when(F.length(html) > 40, "...").otherwise(""))
     rows = t.pages.where("html is not null")
     return rows.select("page_id", F.nullif(text.tag_last(html, "p"), F.lit("")).alias("last_p"), F.length(text.mask_digits(url)).cast("long").alias("masked"), F.regexp_replace("url", "[0-9]", "0").alias("shape"), preview.alias("preview"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'Sort the list of prices' WHEN 'purchase' THEN 'Look at the table of records in the dataset' WHEN 'click' THEN 'Uppercase the name' WHEN 'signup' THEN 'Check whether it is more' ELSE 'Add both' END AS what,
+  CASE event_id % 5 WHEN 0 THEN ['sort_list'] WHEN 1 THEN ['add', 'lookup_by_key'] WHEN 2 THEN ['add', 'uppercase', 'add'] WHEN 3 THEN ['add', 'add', 'add', 'equals'] ELSE ['add'] END AS tools FROM events),
+q AS (SELECT *, lower(what) || CASE user_id % 4 WHEN 0 THEN ' in step 1 and step 2, then step 3 as well' WHEN 1 THEN ' for {x}' WHEN 2 THEN ',' ELSE ' and tell the result of it' END AS q FROM e),
+c AS (SELECT *, len(regexp_extract_all(q, 'step [0-9]+')) AS steps, len(tools) AS n FROM q)
+SELECT event_id, array_to_string(list_filter([
+  CASE WHEN contains(q, '{') THEN 'unresolved_placeholder' END,
+  CASE WHEN n = 1 AND steps > 1 THEN 'step_count_mismatch:stage1_too_many_steps' WHEN n = 2 AND steps < 1 THEN 'step_count_mismatch:stage2' WHEN n = 3 AND steps < 2 THEN 'step_count_mismatch:stage3' WHEN n = 4 AND steps < 3 THEN 'step_count_mismatch:stage4_n4' END,
+  CASE WHEN event_id % 5 = 0 AND NOT contains(q, 'sort') THEN 'insufficient_operation_coverage:1' WHEN event_id % 5 = 2 AND NOT contains(q, 'uppercase') THEN 'insufficient_operation_coverage:1' END,
+  CASE WHEN length(q) < 25 OR right(q, 1) = ',' THEN 'incomplete_or_short_question' END,
+  CASE WHEN contains(q, 'table') AND event_id % 5 <> 1 THEN 'lookup_keywords_without_lookup_tools' END, CASE WHEN contains(q, 'record') AND event_id % 5 <> 1 THEN 'record_field_object_keywords_without_object_or_lookup_tools' END,
+  CASE WHEN contains(q, 'sort the list') AND event_id % 5 <> 0 THEN 'list_keywords_without_list_tools' END, CASE WHEN contains(q, 'uppercase') AND event_id % 5 <> 2 THEN 'string_keywords_without_string_tools' END,
+  CASE WHEN contains(q, 'check whether') AND event_id % 5 <> 3 THEN 'boolean_keywords_without_boolean_tools' END,
+  CASE WHEN event_id % 5 = 4 AND (contains(q, 'table') OR contains(q, 'sort the list') OR contains(q, 'uppercase')) THEN 'math_trace_with_non_math_wording' END], lambda x: x IS NOT NULL), ' ') AS errors FROM c""")
+def question_alignment(t: Tables) -> DataFrame:
+    """Questions whose words fit the trace or not, in several ways at once."""
+    kind, k = F.col("event_type"), F.col("event_id") % 5
+    what = F.when(kind == "view", "Sort the list of prices").when(kind == "purchase", "Look at the table of records in the dataset").when(kind == "click", "Uppercase the name").when(kind == "signup", "Check whether it is more").otherwise("Add both")
+    user = F.col("user_id") % 4
+    end = F.when(user == 0, " in step 1 and step 2, then step 3 as well").when(user == 1, " for {x}").when(user == 2, ",").otherwise(" and tell the result of it")
+    names = lambda text: F.split(F.lit(text), " ")
+    tools = F.when(k == 0, names("sort_list")).when(k == 1, names("add lookup_by_key")).when(k == 2, names("add uppercase add")).when(k == 3, names("add add add equals")).otherwise(names("add"))
+    markers = F.when(k == 0, F.array(F.array(F.lit("sort"), F.lit("in order of")))).when(k == 2, F.array(F.array(F.lit("uppercase"))))
+    return t.events.select("event_id", F.array_join(alignment.alignment_errors(F.concat(what, end), tools, k == 4, markers), " ").alias("errors"))
