@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scoring
 from tracelake.functions import traces as tr
+from tracelake.operators import official
 from tracelake.plans.registry import Tables, query
 from tracelake.plans.rollups import LINE_ORDER, LINE_ORDER_SQL
 
@@ -214,3 +215,22 @@ def required_dependency(t: Tables) -> DataFrame:
     depth = scoring.chain_depth(F.transform("gold", tr.references_of))
     rows = traces(t).select("l_orderkey", "gold", depth.alias("depth"))
     return rows.select("l_orderkey", *[tr.missing_dependency(F.col("gold"), F.col("depth"), m).alias(m) for m in ("strict_chain", "dag_chain", "relaxed_nested")])
+
+
+@query()
+def official_score(t: Tables) -> DataFrame:
+    """F1 of names and slots, partial and full accuracy, and wins of the predicted traces; tests hold it against a loop."""
+    score = official.official_score(traces(t), "gold", "pred", F.col("l_orderkey") % 3 == 0)
+    return score.select("n", *[F.round(c, 9).alias(c) for c in score.columns if c != "n"])
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '1.result,2' WHEN 1 THEN (user_id % 9 + 1) || '' WHEN 2 THEN '' ELSE '3.x,3.y,12' END AS refs FROM events""")
+def nested_references(t: Tables) -> DataFrame:
+    """References at any depth of arguments, and strings that only look like some."""
+    k = F.col("event_id") % 4
+    shapes = [
+        F.lit('{"a": {"b": ["$var_1.result$", 5]}, "c": [["$var2$"]]}'), F.concat(F.lit('{"x": ["text $var1$", {"$var7$": " $var_'), F.col("user_id") % 9 + 1, F.lit('$ "}]}')),
+        F.lit('{"a": "say \\"$var1$\\" to", "b": "$var1", "c": "$varx$"}'), F.lit('[{"k": "$var3.x$"}, {"k": {"k": ["$var3.y$", "$var_12$"]}}]'),
+    ]
+    refs = official.references_in(F.get(F.array(*shapes), k.cast("int")))
+    return t.events.select("event_id", F.array_join(F.transform(refs, lambda r: F.concat_ws(".", r["call"].cast("string"), r["field"])), ",").alias("refs"))
