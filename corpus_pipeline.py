@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontaminate, line_dedup, near_texts, quality
 from tracelake.llm.labelled import fold
-from tracelake.storage import materialize
+from tracelake.storage import materialize, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written as Parquet and read again."""
+    """All stages over ``documents``, each but the last written as Parquet and read again; what a stage needed beside goes when it is written."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        with scratch(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+            made.pop()
     return STAGES[-1][1](spark, docs, sf_dir)

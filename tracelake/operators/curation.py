@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.names import unused
+from tracelake.operators.resampling import with_place
 from tracelake.storage import materialize
 
 
@@ -75,33 +77,41 @@ def largest_remainder(strata: DataFrame, total: int, n: str = "n", key: str = "s
 
     Runs over a row per stratum.  No stratum gets more than it has.
     """
-    whole = Window.partitionBy()
+    whole, share, least = Window.partitionBy(), unused(strata, "share_of"), unused(strata, "floor_of")
     quota = F.col(n) * F.lit(total) / F.sum(n).over(whole)
-    out = strata.withColumn("__quota", quota).withColumn("__floor", F.least(F.floor("__quota"), F.col(n)))
-    left = F.lit(total) - F.sum("__floor").over(whole)
-    by = Window.partitionBy().orderBy(F.desc(F.col("__quota") - F.col("__floor")), F.col(key).cast("string"))
-    got = F.col("__floor") + F.when((F.row_number().over(by) <= left) & (F.col("__floor") < F.col(n)), 1).otherwise(0)
-    return out.withColumn("alloc", got.cast("long")).drop("__quota", "__floor")
+    out = strata.withColumn(share, quota).withColumn(least, F.least(F.floor(share), F.col(n)))
+    left = F.lit(total) - F.sum(least).over(whole)
+    by = Window.partitionBy().orderBy(F.desc(F.col(share) - F.col(least)), F.col(key).cast("string"))
+    got = F.col(least) + F.when((F.row_number().over(by) <= left) & (F.col(least) < F.col(n)), 1).otherwise(0)
+    return out.withColumn("alloc", got.cast("long")).drop(share, least)
+
+
+#: Strata up to which their table is broadcast.
+_FEW = 200_000
 
 
 def take_per_stratum(df: DataFrame, strata: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first ``alloc`` rows of each stratum."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.join(F.broadcast(strata.select(key, "alloc")), key).where(F.col("__rank") <= F.col("alloc")).drop("__rank", "alloc")
+    at, most = unused(df, "rank_at"), unused(df, "alloc_of")
+    ranked = df.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    wanted = strata.select(key, F.col("alloc").alias(most))
+    return ranked.join(F.broadcast(wanted) if wanted.count() <= _FEW else wanted, key).where(F.col(at) <= F.col(most)).drop(at, most)
 
 
 def round_robin(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """One row of each stratum in turn until there are ``n``: rank within the stratum, then the stratum."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.orderBy("__rank", key).limit(n).drop("__rank")
+    at = unused(df, "rank_at")
+    # No stratum gives more than ``n``.
+    ranked = df.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(at) <= n)
+    return ranked.orderBy(at, key).limit(n).drop(at)
 
 
 def hash_split(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """``split`` 'val' for max(1, round(n * fraction)) rows of each stratum in hash order, else 'train'."""
-    own = Window.partitionBy(stratum)
-    at = F.row_number().over(own.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    size = F.greatest(F.lit(1), F.round(F.count("*").over(own) * F.lit(fraction)).cast("long"))
-    return df.withColumn("split", F.when(at <= size, "val").otherwise("train"))
+    """``split`` 'val' for max(1, round(n * fraction)) rows of each stratum in hash order, else 'train'; places come from prefix sums, so no stratum is one task."""
+    at = unused(df, "split_at")
+    placed = with_place(df, F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), stratum, at)
+    size = F.greatest(F.lit(1), F.round(F.col(f"{at}_of") * F.lit(fraction)).cast("long"))
+    return placed.withColumn("split", F.when(F.col(at) < size, "val").otherwise("train")).drop(at, f"{at}_of")
 
 
 def tier_merge(df: DataFrame, tier: str, priority: dict[str, int], caps: dict[str, int], order: list[Column]) -> DataFrame:
@@ -124,9 +134,10 @@ def first_seen_by_either(rows: DataFrame, order: str, key_a: str, key_b: str) ->
     while not todo.isEmpty():
         a, b = Window.partitionBy(key_a), Window.partitionBy(key_b)
         first = (F.col(order) == F.min(order).over(a)) & (F.col(order) == F.min(order).over(b))
-        now = materialize(todo.withColumn("__first", first), "seen_round")
-        won = now.where("__first").select(order, key_a, key_b)
+        is_first = unused(todo, "is_first")
+        now = materialize(todo.withColumn(is_first, first), "seen_round")
+        won = now.where(is_first).select(order, key_a, key_b)
         kept = won if kept is None else kept.unionByName(won)
-        rest = now.where(~F.col("__first")).drop("__first")
+        rest = now.where(~F.col(is_first)).drop(is_first)
         todo = materialize(without_overlap(rest, won, key_a, key_b), "seen_open").select(order, key_a, key_b)
     return kept if kept is not None else rows.select(order, key_a, key_b)

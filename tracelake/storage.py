@@ -12,10 +12,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: list[str] = []
+#: What was written inside each open ``scratch``, the innermost last.
+_scratch: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,5 +49,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are materialized inside go when it ends without an error, but for those taken out of the list that it yields.
+
+    Nothing that was made of them may be read later, so what is to stay is written inside and taken out.
+    """
+    held: list[str] = []
+    _scratch.append(held)
+    try:
+        yield held
+    finally:
+        _scratch.remove(held)
+    for path in held:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
