@@ -22,13 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.pieces import PieceEncoder
+from tracelake.llm.pieces import REMEMBERED_BYTES, PieceEncoder
 
 
 #: Documents whose new pieces a worker encodes together.
 _BATCH = 2048
-#: A worker forgets its pieces once they take about so many bytes: it may be one that earlier stages have left large.
-REMEMBERED_BYTES = 64 << 20
 
 
 class Ranks:
@@ -168,11 +166,11 @@ class PrefixTable:
 class ByteBpe:
     """Encodes and decodes whole texts: each match of ``pattern`` by its own prefix table."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered_bytes: int = REMEMBERED_BYTES):
         self.ranks = Ranks(path)
         self.matches = regex.compile(pattern).findall
         self._code = "H" if max(self.ranks.bytes_of) < 1 << 16 else "I"
-        self.encode_packed = PieceEncoder(self.matches, self._encode_matches, bound=REMEMBERED_BYTES)
+        self.encode_packed = PieceEncoder(self.matches, self._encode_matches, bound=remembered_bytes)
         self._decimal = [str(i) for i in range(max(self.ranks.bytes_of) + 1)]
 
     def _encode_matches(self, matches: Iterable[str]) -> Iterator[bytes]:
@@ -190,26 +188,27 @@ class ByteBpe:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> ByteBpe:
+def codec(path: str, pattern: str, remembered_bytes: int = REMEMBERED_BYTES) -> ByteBpe:
     """One per Python worker and vocabulary."""
-    return ByteBpe(path, pattern)
+    return ByteBpe(path, pattern, remembered_bytes)
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remembered_bytes: int = REMEMBERED_BYTES
 ) -> DataFrame:
     """One row per document: id, ``ids`` (if asked for), ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
     decoded_sha256 is that of the bytes that the ids decode to.  Null texts encode as empty ones, to no
     ids and the digests of nothing.  Repeated rows give repeated rows, an empty table an empty one;
-    columns besides the two named are not read.  ``ranks_path`` must be readable on executors.
+    columns besides the two named are not read.  ``ranks_path`` must be readable on executors.  A worker forgets
+    its pieces once they take about ``remembered_bytes``, which changes no result.
     """
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kinds = [("ids", "array<int>")] * with_ids + [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in kinds)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = codec(ranks_path, pattern), hashlib.sha256
+        bpe, sha = codec(ranks_path, pattern, remembered_bytes), hashlib.sha256
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 some = batch.slice(at, min(_BATCH, batch.num_rows - at))
