@@ -67,3 +67,15 @@ def test_agreement_of_sketches(spark):
     table = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
     assert all(r.n == r.got for r in table.select("n", near_texts._agree(near_texts.F.col("a"), near_texts.F.col("b")).alias("got")).collect())
     assert len(near_texts.minima([], 5)[0]) == near_texts.BANDS and len(near_texts.minima([b"a"], 5)[1]) == 8
+
+
+def test_fingerprints_of_a_crowded_segment(spark):
+    """Fingerprints that share one segment and differ elsewhere are compared in tasks, to which no column may be sent."""
+    rng = random.Random(4)
+    far = [[rng.getrandbits(31) << 32 | 7] + [rng.getrandbits(63) for _ in range(3)] for _ in range(6)]
+    near = [list(far[0]), list(far[1])]
+    near[0][2] ^= 0b1011 << 40
+    near[1][3] ^= 0b111 << 5
+    classes = spark.createDataFrame(list(enumerate(far + near)), "node long, f array<long>")
+    links = near_texts.candidate_links(classes, near_texts.by_bits(44), hot_bucket=1, block=3).collect()
+    assert {tuple(sorted(r)) for r in links} == {(0, 6), (1, 7)}

@@ -247,13 +247,14 @@ def candidate_links(classes: DataFrame, way: Way, hot_bucket: int = 128, block:
     near = parted.select("node", "part", F.col(way.column).alias("f"))
     crowd = materialize(probes.join(hot, "val").select("val", F.col("probe").alias("node")).distinct().join(near, "node"), "near_crowd")
     sizes = crowd.groupBy("val").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    near_rows = way.near_rows  # ``way`` itself holds columns, which no task can be sent
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         bits, nodes, part = _bits(group["f"]), group["node"].to_numpy(), group["part"].to_numpy()
 
         def linked(a: int, bs: np.ndarray) -> np.ndarray:
             bs = bs[part[bs] != part[a]]
-            return bs[way.near_rows(bits[a], bits[bs])]
+            return bs[near_rows(bits[a], bits[bs])]
 
         links = _forest(group, linked)
         return pd.DataFrame({"a": [nodes[a] for a, _ in links], "b": [nodes[b] for _, b in links]}, dtype=np.int64)
