@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from tracelake.operators import curation
 from tracelake.operators import similarity as sim
 from tracelake.plans import compare, registry
 
@@ -64,3 +68,43 @@ def test_registered_query(spark, sf):
     got = {r.o_orderkey: r for r in registry.QUERIES["nearest_trace"](spark, sf).collect()}
     assert len(got) == sum(r.o_orderstatus == "F" for r in rows)
     assert all(abs(got[i].score - w[0]) < 1.5e-4 and got[i].near_orderkey in w[1] for i, w in want.items())
+
+
+def _pairs_by_loop(sets, threshold):
+    out = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x and y and len(x & y) / len(x | y) >= threshold:
+                out[a, b] = len(x & y) / len(x | y)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8])
+def test_token_pairs_of_small_and_large_sets(spark, threshold):
+    rng = random.Random(5)
+    sets = {}
+    for i in range(120):
+        base = set(sets[rng.randrange(i)]) if i and rng.random() < 0.7 else {f"t{rng.randrange(90)}" for _ in range(rng.choice([1, 2, 5, 12, 30, 34, 50]))}
+        for _ in range(rng.randrange(4)):
+            base ^= {f"t{rng.randrange(90)}"}
+        sets[i] = base
+    # 11 of 20 tokens, all of them behind the rare ones: a bound rounded up would lose this pair at 0.55.
+    sets[200], sets[201] = {f"c{i}" for i in range(11)} | {f"r{i}" for i in range(9)}, {f"c{i}" for i in range(11)}
+    rows = spark.createDataFrame([(i, [*s, None]) for i, s in sets.items()], "id long, tokens array<string>")
+    got = {(r.a_id, r.b_id): r.jaccard for r in curation.token_pairs(rows, rows, threshold, ordered=True).collect()}
+    want = _pairs_by_loop(sets, threshold)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    both = {(r.a_id, r.b_id) for r in curation.token_pairs(rows.where("id < 60"), rows, threshold).collect()}
+    assert both == {(i, j) for i in range(60) for j in sets if (min(i, j), max(i, j)) in want or (i == j and sets[i])}
+
+
+def test_copies_and_unlike_sets_of_a_size_do_not_meet(spark, monkeypatch):
+    """Copies are one class, and sets with one differing token of five share no key unless they reach the threshold."""
+    met = {}
+    write = curation.materialize
+    monkeypatch.setattr(curation, "materialize", lambda df, name: met.setdefault(name, write(df, name)))
+    rows = spark.range(3000).select(F.col("id"), F.array(*[F.concat(F.lit(c), (F.col("id") % m).cast("string")) for c, m in zip("abcde", (5, 7, 2, 3, 1))]).alias("tokens"))
+    n = curation.token_pairs(rows, rows, 0.8, ordered=True).count()
+    assert n == 60 * (15 * 14 // 2) + 150 * (14 * 13 // 2)  # 3000 rows of 210 sets
+    assert met["token_keys"].where("n = m").groupBy("k").count().agg({"count": "max"}).first()[0] == 1

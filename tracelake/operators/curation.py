@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,33 +20,75 @@ def without_overlap(df: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
-def token_pairs(a: DataFrame, b: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
-    """(a_id, b_id, jaccard) of pairs (id, tokens) with token Jaccard of ``threshold`` or more, exactly.
+#: Tokens up to which sets are looked up by combinations, and combinations of a set for one size of partner.
+_SMALL, _COMBINATIONS = 32, 16
+
 
-    Prefix filter: with tokens sorted from rare to common, two sets that reach the threshold share one
-    of their first n - ceil(t n) + 1 tokens, so only these are joined on; frequent tokens hardly ever
-    are among them.  ``ordered`` keeps pairs with a_id < b_id, for a self-join.
+def _combinations(threshold: float) -> list[tuple[int, int, list[list[int]]]]:
+    """(n, m, places) for sizes of small sets that can reach the threshold: of which tokens of the set of n its keys for sets of m are made.
+
+    Two such sets have o tokens in common, so at least k of their first n - o + k and m - o + k, whatever k is; all
+    combinations of k of these are keys.  The larger k, the fewer sets share a key and the more keys there are.
     """
-    both = a.select("id", "tokens", F.lit(0).alias("side")).unionByName(b.select("id", "tokens", F.lit(1).alias("side"))) if not ordered else a.select("id", "tokens", F.lit(0).alias("side"))
-    sets = both.select("side", "id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
-    flat = sets.select("side", "id", F.explode("tokens").alias("t"))
+    out = []
+    for n in range(1, _SMALL + 1):
+        for m in range(1, _SMALL + 1):
+            # A little less than the bound, so that rounding never loses a pair.
+            o = max(1, math.ceil((n + m) * threshold / (1 + threshold) - 1e-6))
+            if o <= min(n, m):
+                k = max((k for k in range(1, o + 1) if math.comb(max(n, m) - o + k, k) <= _COMBINATIONS), default=1)
+                out.append((n, m, [list(c) for c in itertools.combinations(range(n - o + k), k)]))
+    return out
+
+
+def _class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, jaccard) with x < y of different sets (class, tokens) with token Jaccard of ``threshold`` or more."""
+    flat = sets.select("class", F.explode("tokens").alias("t"))
     df = flat.groupBy("t").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "t")))
-    sorted_sets = flat.join(df, "t").groupBy("side", "id").agg(F.transform(order, lambda x: x["t"]).alias("tokens"))
-    sorted_sets = materialize(sorted_sets.withColumn("n", F.size("tokens")), "token_sets")  # read four times
-    n = F.col("n")
-    prefix = F.slice("tokens", 1, (n - F.ceil(n * threshold) + 1).cast("int"))
-    heads = sorted_sets.select("side", "id", "n", F.explode(prefix).alias("t"))
-    left = heads.where(F.col("side") == 0).select(F.col("id").alias("a_id"), F.col("n").alias("na"), "t")
-    right = heads.where(F.col("side") == (0 if ordered else 1)).select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "t")
+    sorted_sets = flat.join(df, "t").groupBy("class").agg(F.transform(order, lambda x: x["t"]).alias("tokens"))
+    sorted_sets = materialize(sorted_sets.withColumn("n", F.size("tokens")), "token_sets")  # read five times
+    n, small = F.col("n"), F.col("n") <= _SMALL
+    plan = sets.sparkSession.createDataFrame(_combinations(threshold), "n int, m int, places array<array<int>>")  # of fixed size
+    chosen = sorted_sets.where(small).join(F.broadcast(plan), "n").select("class", "n", "m", "tokens", F.explode("places").alias("at"))
+    keyed = chosen.select("class", "n", "m", F.xxhash64(F.least("n", "m"), F.greatest("n", "m"), F.transform("at", lambda i: F.get("tokens", i))).alias("k"))
+    keyed = materialize(keyed, "token_keys")
+    # A set looks for partners of its own size and for smaller ones.
+    one, other = keyed.where("n >= m").select(F.col("class").alias("a"), "n", "m", "k"), keyed.where("m >= n").select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("m").alias("n"), "k")
+    met = one.join(other, ["k", "n", "m"]).where((F.col("n") > F.col("m")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    # Pairs with a larger set share one of their first n - ceil(t n) + 1 tokens.
+    heads = sorted_sets.where(n >= _SMALL * threshold).select("class", "n", F.explode(F.slice("tokens", 1, (n - F.ceil(n * threshold - 1e-6) + 1).cast("int"))).alias("t"))
+    left, right = (heads.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), "t") for c in ("x", "y"))
     # Sets of too unlike sizes cannot reach the threshold.
-    sized = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    pairs = left.join(right, "t").where(sized & (F.col("a_id") < F.col("b_id") if ordered else F.lit(True))).select("a_id", "b_id").distinct()
-    ta = sorted_sets.where(F.col("side") == 0).select(F.col("id").alias("a_id"), F.col("tokens").alias("ta"))
-    tb = sorted_sets.where(F.col("side") == (0 if ordered else 1)).select(F.col("id").alias("b_id"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    scored = pairs.join(ta, "a_id").join(tb, "b_id").withColumn("jaccard", common / (F.size("ta") + F.size("tb") - common))
-    return scored.where(F.col("jaccard") >= threshold).select("a_id", "b_id", "jaccard")
+    sized = (F.col("nx") >= threshold * F.col("ny") - 1e-9) & (F.col("ny") >= threshold * F.col("nx") - 1e-9)
+    large = left.join(right, "t").where((F.col("x") < F.col("y")) & sized & (F.greatest("nx", "ny") > _SMALL)).select("x", "y")
+    pairs = met.unionByName(large).distinct()
+    tx, ty = (sorted_sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t{c}")) for c in ("x", "y"))
+    common = F.size(F.array_intersect("tx", "ty"))
+    scored = pairs.join(tx, "x").join(ty, "y").withColumn("jaccard", common / (F.size("tx") + F.size("ty") - common))
+    return scored.where(F.col("jaccard") >= threshold).select("x", "y", "jaccard")
+
+
+def token_pairs(a: DataFrame, b: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
+    """(a_id, b_id, jaccard) of pairs (id, tokens) with token Jaccard of ``threshold`` or more, exactly.
+
+    Equal sets are one class before anything is compared.  Prefix filter: with tokens sorted from rare to common,
+    two sets that reach the threshold share some of their first tokens, so only combinations of these are
+    joined on.  Pairs of classes become pairs of ids at the end.  ``ordered`` keeps pairs with a_id < b_id, for a self-join.
+    """
+    side = lambda df, k: df.select("id", "tokens", F.lit(k).alias("side"))
+    both = side(a, 0) if ordered else side(a, 0).unionByName(side(b, 1))
+    sets = both.select("side", "id", F.array_sort(F.array_distinct(F.filter("tokens", lambda x: x.isNotNull()))).alias("tokens")).where(F.size("tokens") > 0)
+    named = F.sha2(F.to_json(F.struct(F.transform("tokens", lambda x: x.cast("string")).alias("t"))), 256)
+    members = materialize(sets.withColumn("class", named), "token_members")
+    near = _class_pairs(members.groupBy("class").agg(F.first("tokens").alias("tokens")), threshold)
+    ours = members.where(F.col("side") == 0).select(F.col("class").alias("x"), F.col("id").alias("a_id"))
+    theirs = members.where(F.col("side") == (0 if ordered else 1)).select(F.col("class").alias("y"), F.col("id").alias("b_id"))
+    kept = F.col("a_id") < F.col("b_id") if ordered else F.lit(True)
+    equal = ours.join(theirs, F.col("x") == F.col("y")).where(kept & F.lit(threshold <= 1)).select("a_id", "b_id", F.lit(1.0).alias("jaccard"))
+    links = materialize(near, "token_links")
+    links = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "jaccard"))
+    return equal.unionByName(links.join(ours, "x").join(theirs, "y").where(kept).select("a_id", "b_id", "jaccard"))
 
 
 def seed_pairs(docs: DataFrame, seeds: DataFrame, threshold: float, small: int = 1_000_000) -> DataFrame:
