@@ -41,7 +41,8 @@ def nearest_number(rows: DataFrame, pool: DataFrame, block: str, row_value: str,
     own = F.when(~F.col("asks"), F.struct("x", "p"))
     order = Window.partitionBy("b").orderBy("x", "asks")  # of equal numbers the pool's comes first
     below = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # In falling order, since a frame that ends at the last row is built anew for each row.
+    above = F.last(own, ignorenulls=True).over(Window.partitionBy("b").orderBy(F.desc("x"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0))
     met = both.select("b", "r", "x", "asks", below.alias("below"), above.alias("above")).where("asks and b is not null")
     one = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("x") - F.col(side)["x"]).alias("d"), F.col(side)["p"].alias("p")))
     best = met.select("r", F.least(one("below"), one("above")).alias("best")).where("best is not null")
