@@ -180,3 +180,12 @@ def bootstrap_rate(df: DataFrame, keys: list[str], passed: Column, resamples: in
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
     return counts.mapInPandas(draw, f"{kinds}, n long, rate double, mean double, std double, low double, high double")
+
+
+def mean_in_order(value: Column, *order: Column) -> Column:
+    """Mean of the values that are not null, added one by one in ``order``, so that it does not depend on tasks; null without any.
+
+    A group's values are collected, so groups are to be small.
+    """
+    rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], value.cast("double").alias("v")))))
+    return F.when(F.count(value) > 0, F.aggregate(rows, F.lit(0.0), lambda total, x: total + x["v"]) / F.nullif(F.count(value), F.lit(0)))
