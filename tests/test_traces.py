@@ -175,3 +175,56 @@ def test_weighted_quotas_takes_what_it_should(spark, sf):
     have = {r.c_mktsegment: r["count"] for r in spark.read.parquet(f"{sf}/customer.parquet").groupBy("c_mktsegment").count().collect()}
     want = matching.quotas(have, {"BUILDING": 5.0, "MACHINERY": 3.0, "HOUSEHOLD": 1.0}, sum(have.values()) // 2)
     assert {r.c_mktsegment: r["count"] for r in registry.QUERIES["weighted_quotas"](spark, sf).groupBy("c_mktsegment").count().collect()} == want
+
+
+def _against_sql(spark, folder, name, **tables):
+    import duckdb
+
+    from tracelake.plans import registry
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for table, rows in tables.items():
+        rows.write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES[name](spark, str(folder)).collect()]
+    return sorted(got, key=str), sorted(con.execute(registry.ORACLE[name]).fetchall(), key=str)
+
+
+def test_window_frames_round_halves_to_even(spark, tmp_path):
+    rows = [(1, 7, "F", 100.5), (2, 7, "O", 20101.0), (3, 7, "F", 20101.5), (4, 7, "O", 20100.5), (5, 8, "F", 0.5), (6, 8, "F", 20001.0)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1)
+    got, want = _against_sql(spark, tmp_path, "window_frames", orders=orders)
+    assert got == want
+
+
+def test_solver_gap_adds_lines_as_the_file_has_them(spark, tmp_path):
+    """Means of 0.4 exactly, which sums in this or that order put above or below; the rows of an order lie in different tasks."""
+    shares = [[0.8, 0.4, 0.8, 0.0, 0.0, 0.4], [1.0, 0.2, 0.0, 0.5, 0.4, 0.3], [0.1, 1.0, 0.1], [0.1, 0.0, 0.5, 0.7, 0.7], [0.7, 0.7, 0.1, 0.5, 0.0], [0.1, 0.1, 1.0]]
+    rows = [(k, "F", round(v[i] / 10, 2), "N" if (k + i) % 2 else "R") for i in range(6) for k, v in enumerate(shares * 20, 1) if i < len(v)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linestatus string, l_discount double, l_returnflag string").coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        got, want = _against_sql(spark, tmp_path, "solver_gap", lineitem=lines)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_mean_in_order(spark):
+    rows = spark.createDataFrame([(1, 3, 0.1), (1, 1, 0.1), (1, 2, 1.0), (2, 1, None), (3, 5, 2.0), (3, 6, None)], "k int, at int, v double").repartition(4, "at")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(aggregates.mean_in_order(F.col("v"), F.col("at")).alias("m")).collect()}
+    assert got == {1: (0.1 + 1.0 + 0.1) / 3, 2: None, 3: 2.0}
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_nearest_numbers_of_one_large_block(spark, n):
+    """One block of many rows; a frame that is built anew for each row takes minutes here."""
+    import time
+
+    rows, pool = spark.range(n).select(F.col("id").alias("r"), F.lit("a").alias("b"), (F.col("id") * 3.0).alias("x")), spark.range(n).select(F.col("id").alias("p"), F.lit("a").alias("b"), (F.col("id") * 3.0 + 1).alias("y"))
+    begin = time.monotonic()
+    got = matching.nearest_number(rows, pool, "b", "x", "y", "r", "p")
+    assert got.where((F.col("p") != F.col("r")) | (F.col("score") != -1.0)).count() == 0 and got.count() == n
+    assert time.monotonic() - begin < 30

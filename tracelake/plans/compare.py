@@ -159,8 +159,11 @@ def reward_timeline(t: Tables) -> DataFrame:
 def window_frames(t: Tables) -> DataFrame:
     """Quartiles, the next value that is there, and counts within a range of values."""
     own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    after = F.first(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
-    near = F.count("*").over(Window.partitionBy("o_custkey").orderBy(F.round("o_totalprice", 0).cast("bigint")).rangeBetween(-20000, 0))
+    # What follows is what came before in falling order; a frame that ends at the last row is built anew for each row.
+    back = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), ignorenulls=True).over(back)
+    # Halves go to the even number, as in a cast of SQL's.
+    near = F.count("*").over(Window.partitionBy("o_custkey").orderBy(F.rint("o_totalprice").cast("bigint")).rangeBetween(-20000, 0))
     return t.orders.select("o_orderkey", F.ntile(4).over(own).cast("long").alias("quarter"), after.alias("next_failed"), near.alias("near"))
 
 
