@@ -104,6 +104,14 @@ def test_grounding_in_words(spark):
     assert share("costs 1,000,000.", "1000000", "1000000.0") == 1.0 and share("box 15", "5", "", "-") == 0.0 and share("New-York City", "new york", "york c") == 0.5
 
 
+def test_thousands_are_one_number(spark):
+    """A number's first or last thousands are not the number that a value names."""
+    share = lambda q, *v: spark.range(1).select(va.grounded_share(F.lit(q), F.array(*map(F.lit, v))).alias("x")).first().x
+    assert share("Take 6,123,456 and then", "6") == 0.0 and share("Take 4,711,050", "-4711", "50", "711") == 0.0 and share("Take 1,500", "500", "1", "one") == 0.0
+    assert share("of 1,500, 20,000,000 and -3,000.5", "1500", "1,500", "20000000", "-3000.5") == 1.0
+    assert share("1,2,3 and 12,3456 and 1234,567", "2", "12", "3456", "567", "3") == 1.0
+
+
 def test_judges_answers(spark):
     score = lambda t: spark.createDataFrame([(t,)], "t string").select(va.judge_score(F.col("t")).alias("x")).first().x
     rows = {"3": 3, "17 out of 20": 1, "Of 3 criteria... Score: 4": 3, "I'd rate it four": 4, "Four or FIVE": 4, "90 %": None, "": None, "score 0 or 6": None, "someone": 1, "8/5": 5}
