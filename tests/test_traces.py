@@ -236,3 +236,11 @@ def test_nearest_numbers_of_one_large_block(spark, n):
     got = matching.nearest_number(rows, pool, "b", "x", "y", "r", "p")
     assert got.where((F.col("p") != F.col("r")) | (F.col("score") != -1.0)).count() == 0 and got.count() == n
     assert time.monotonic() - begin < 30
+
+
+def test_turns_make_what_is_asked_for(spark):
+    rows = spark.createDataFrame([([ADD, USE, MUL], [ADD, call("sub", a="1", b="5", c="6")]), ([ADD], [])], f"gold {CALLS}, pred {CALLS}")
+    every = rows.select(tr.turns(F.col("gold"), F.col("pred")).alias("t")).collect()
+    for field in tr.TURN_FIELDS:
+        one = rows.select(tr.turns(F.col("gold"), F.col("pred"), field).alias("t")).collect()
+        assert [[t.asDict() for t in r.t] for r in one] == [[{field: t[field]} for t in r.t] for r in every]

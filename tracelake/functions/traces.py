@@ -5,6 +5,8 @@ Everything is an expression over two arrays of calls, gold and predicted, of one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,13 +42,18 @@ def value_of(call: Column, key: Column) -> Column:
     return F.get(F.filter(call["args"], lambda e: e["k"] == key), F.lit(0))["v"]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: inside lambdas Spark evaluates an expression as often as it is written."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_reference(value: Column) -> Column:
-    return value.rlike(r"^\$[A-Za-z_]\w*(\.[^$]*)?\$$")
+    return value.startswith("$") & value.rlike(r"^\$[A-Za-z_]\w*(\.[^$]*)?\$$")
 
 
 def referred(value: Column) -> Column:
     """The call a value refers to, from 1; null if it is no reference."""
-    return F.nullif(F.regexp_extract(value, r"^\$var_?([0-9]+)(?:\.[A-Za-z0-9_]+)?\$$", 1), F.lit("")).cast("int")
+    return F.when(value.startswith("$"), F.nullif(F.regexp_extract(value, r"^\$var_?([0-9]+)(?:\.[A-Za-z0-9_]+)?\$$", 1), F.lit("")).cast("int"))
 
 
 def references_of(call: Column) -> Column:
@@ -75,33 +82,56 @@ def ordered_arguments(call: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
 
 
-def turns(gold: Column, pred: Column) -> Column:
+#: What is known of a turn.
+TURN_FIELDS = ("there", "name", "keys", "values", "loose", "graded", "exact", "shared", "n")
+
+
+def turns(gold: Column, pred: Column, *fields: str) -> Column:
     """Per gold position: name, keys and all arguments right, share of gold arguments with the right value, and two graded forms.
 
     ``values`` counts equal values over gold keys, ``loose`` also a reference for any other; ``graded`` gives a reference for a reference 1, a
-    literal for a reference a half, and is diluted by unexpected keys.
+    literal for a reference a half, and is diluted by unexpected keys.  Of TURN_FIELDS only ``fields`` are made, if any are named: each costs time.
     """
 
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def values(g: Column, p: Column) -> Column:
+        """Of each gold argument whether the value is equal, and whether that of gold and that of the prediction are there and references."""
+        one = lambda want, have: F.struct(yes(have == want).alias("equal"), yes(is_reference(want)).alias("wants"), have.isNotNull().alias("has"), yes(is_reference(have)).alias("refers"))
+        return F.transform(g["args"], lambda e: _let(value_of(p, e["k"]), lambda have: one(e["v"], have)))
+
+    wanted = set(fields or TURN_FIELDS)
+    any_of = lambda *names: bool(wanted & set(names))
+
     def turn(g: Column, i: Column) -> Column:
-        p = F.get(pred, i)
-        n = F.size(g["args"])
-        name = F.coalesce(p["name"] == g["name"], F.lit(False))
+        return _let(F.get(pred, i), lambda p: _let(seen(g, p), scores))
+
+    def seen(g: Column, p: Column) -> Column:
         own, theirs = keys_of(g), F.coalesce(keys_of(p), F.array().cast("array<string>"))
-        equal = F.size(F.filter(g["args"], lambda e: F.coalesce(value_of(p, e["k"]) == e["v"], F.lit(False))))
-
-        def credit(e: Column) -> Column:
-            v = value_of(p, e["k"])
-            return F.when(v.isNull(), 0.0).when(is_reference(e["v"]), F.when(is_reference(v), 1.0).otherwise(0.5)).otherwise((v == e["v"]).cast("double"))
-
-        loose = F.size(F.filter(g["args"], lambda e: F.coalesce((value_of(p, e["k"]) == e["v"]) | (is_reference(e["v"]) & is_reference(value_of(p, e["k"]))), F.lit(False))))
-        extra = F.size(F.array_except(theirs, own))
-        share = F.aggregate(F.transform(g["args"], credit), F.lit(0.0), lambda a, x: a + x) / n * n / (n + extra)
-        return F.struct(
-            p.isNotNull().alias("there"), name.alias("name"), (p.isNotNull() & (F.array_sort(own) == F.array_sort(theirs))).alias("keys"),
-            F.when(n == 0, F.lit(1.0)).otherwise(equal / n).alias("values"), F.when(n == 0, F.lit(1.0)).otherwise(loose / n).alias("loose"),
-            F.when(p.isNull(), 0.0).when(n == 0, F.when(F.size(theirs) == 0, 1.0).otherwise(0.5)).otherwise(share).alias("graded"),
-            (name & (equal == n) & (extra == 0)).alias("exact"), F.size(F.array_intersect(own, theirs)).alias("shared"), n.alias("n"),
-        )
+        parts = [p.isNotNull().alias("there"), F.size(g["args"]).alias("n"), yes(p["name"] == g["name"]).alias("name")]
+        if any_of("keys", "shared"):
+            parts.append(own.alias("own"))
+        if any_of("keys", "shared", "graded"):
+            parts.append(theirs.alias("theirs"))
+        if any_of("graded", "exact"):
+            parts.append(F.size(F.array_except(theirs, own)).alias("extra"))
+        if any_of("values", "loose", "graded", "exact"):
+            parts.append(values(g, p).alias("values"))
+        return F.struct(*parts)
+
+    def scores(s: Column) -> Column:
+        n, there = s["n"], s["there"]
+        equal = lambda: F.size(F.filter(s["values"], lambda v: v["equal"]))
+        loose = lambda: F.size(F.filter(s["values"], lambda v: v["equal"] | (v["wants"] & v["refers"])))
+        credit = lambda v: F.when(~v["has"], 0.0).when(v["wants"], F.when(v["refers"], 1.0).otherwise(0.5)).otherwise(v["equal"].cast("double"))
+        share = lambda: F.aggregate(s["values"], F.lit(0.0), lambda a, v: a + credit(v)) / n * n / (n + s["extra"])
+        made = {
+            "there": lambda: there, "name": lambda: s["name"], "keys": lambda: there & (F.array_sort(s["own"]) == F.array_sort(s["theirs"])),
+            "values": lambda: F.when(n == 0, F.lit(1.0)).otherwise(equal() / n), "loose": lambda: F.when(n == 0, F.lit(1.0)).otherwise(loose() / n),
+            "graded": lambda: F.when(~there, 0.0).when(n == 0, F.when(F.size(s["theirs"]) == 0, 1.0).otherwise(0.5)).otherwise(share()),
+            "exact": lambda: s["name"] & (equal() == n) & (s["extra"] == 0), "shared": lambda: F.size(F.array_intersect(s["own"], s["theirs"])), "n": lambda: n,
+        }
+        return F.struct(*[made[f]().alias(f) for f in TURN_FIELDS if f in wanted])
 
     return F.transform(gold, turn)
 
@@ -169,7 +199,7 @@ def category_check(gold: Column, pred: Column, category: Column, optional: Colum
 def valid_reference_share(calls: Column) -> Column:
     """Share of references that point back to an earlier call; null without references."""
     marked = F.flatten(F.transform(calls, lambda c, i: F.transform(references_of(c), lambda r: (r >= 1) & (r <= i))))
-    return F.when(F.size(marked) > 0, F.size(F.filter(marked, lambda x: x)) / F.size(marked))
+    return _let(marked, lambda m: F.when(F.size(m) > 0, F.size(F.filter(m, lambda x: x)) / F.size(m)))
 
 
 def stepwise_reward(checks: Column, gold: Column, pred: Column, clean: Column, final: Column, terminal: Column, has_final: Column, parsed: Column) -> Column:

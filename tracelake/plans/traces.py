@@ -61,8 +61,8 @@ def traces(t: Tables) -> DataFrame:
     return pairs.select("l_orderkey", F.transform("c", lambda x: x["gold"]).alias("gold"), F.transform(kept, lambda x: x["pred"]).alias("pred"), F.transform(kept, lambda x: x["clean"]).alias("clean"), "final")
 
 
-def _checked(t: Tables) -> DataFrame:
-    return traces(t).withColumn("checks", tr.turns(F.col("gold"), F.col("pred")))
+def _checked(t: Tables, *fields: str) -> DataFrame:
+    return traces(t).withColumn("checks", tr.turns(F.col("gold"), F.col("pred"), *fields))
 
 
 def _rounded(*names: str) -> list[Column]:
@@ -73,14 +73,14 @@ def _rounded(*names: str) -> list[Column]:
 SELECT l_orderkey, CASE WHEN bad IS NULL AND n = m AND final THEN 1.0 ELSE 0.0 END AS reward, coalesce(bad - 1, n) AS prefix, bad - 1 AS first_error FROM s""")
 def strict_gold_trace(t: Tables) -> DataFrame:
     """All turns by name, keys and execution, then the answer; or nothing."""
-    return _checked(t).select("l_orderkey", tr.strict_reward(F.col("checks"), F.size("pred"), F.col("clean"), F.col("final")).alias("s")).select("l_orderkey", "s.reward", "s.prefix", "s.first_error")
+    return _checked(t, "name", "keys").select("l_orderkey", tr.strict_reward(F.col("checks"), F.size("pred"), F.col("clean"), F.col("final")).alias("s")).select("l_orderkey", "s.reward", "s.prefix", "s.first_error")
 
 
 @query(f"""WITH {_TURNS} SELECT l_orderkey, round(0.7 * sum(CASE WHEN name_ok THEN 0.4 + 0.3 * CAST(keys_ok AS INTEGER) + 0.3 * CAST(clean AS INTEGER) ELSE 0 END) / any_value(n)
   + 0.3 * CAST(any_value(final) AS INTEGER), 6) AS reward FROM t GROUP BY 1""")
 def partial_gold_trace(t: Tables) -> DataFrame:
     """Turn credit and answer credit, with their weights."""
-    return _checked(t).select("l_orderkey", F.round(tr.partial_reward(F.col("checks"), F.size("pred"), F.col("clean"), F.col("final")), 6).alias("reward"))
+    return _checked(t, "name", "keys").select("l_orderkey", F.round(tr.partial_reward(F.col("checks"), F.size("pred"), F.col("clean"), F.col("final")), 6).alias("reward"))
 
 
 @query(f"""WITH {_TURNS}, c AS (SELECT l_orderkey, name, count(*) AS a FROM g GROUP BY 1, 2), e AS (SELECT l_orderkey, name, count(*) AS b FROM p GROUP BY 1, 2),
@@ -91,7 +91,7 @@ SELECT l_orderkey, round(CASE WHEN m = 0 THEN 0.0 ELSE 2.0 * common / (n + m) EN
   CASE WHEN m = 0 THEN 'parse_failure' WHEN n <> m THEN 'length_mismatch' WHEN exact = n THEN 'none' WHEN wrong > 0 THEN 'name_mismatch' ELSE 'arg_mismatch' END AS error FROM s JOIN f USING (l_orderkey)""")
 def structural_score(t: Tables) -> DataFrame:
     """Names as multisets, calls by place, and the first kind of error."""
-    out = _checked(t).select("l_orderkey", tr.structural_score(F.col("checks"), F.col("gold"), F.col("pred")).alias("s"))
+    out = _checked(t, "there", "name", "loose").select("l_orderkey", tr.structural_score(F.col("checks"), F.col("gold"), F.col("pred")).alias("s"))
     return out.select("l_orderkey", *_rounded("s.name_f1", "s.call_accuracy", "s.arg_ratio"), "s.full_match", "s.error")
 
 
@@ -104,7 +104,7 @@ def stepwise_reward(t: Tables) -> DataFrame:
     """Eight weighted components under a ladder of caps of which the first applies."""
     true = F.lit(True)
     reward = tr.stepwise_reward(*[F.col(c) for c in ("checks", "gold", "pred", "clean", "final")], true, true, true)
-    return _checked(t).select("l_orderkey", F.round(reward, 6).alias("reward"))
+    return _checked(t, "name", "graded").select("l_orderkey", F.round(reward, 6).alias("reward"))
 
 
 @query(f"""WITH {_TURNS}, {_STEPS}, q AS (SELECT *, 0.10 + 0.20 * least(1, m * 1.0 / n) + 0.20 * tools + 0.20 * args
@@ -117,7 +117,7 @@ def banded_reward(t: Tables) -> DataFrame:
     """A band by the first kind of failure, and the place in it by dense components."""
     true = F.lit(True)
     reward = tr.banded_reward(*[F.col(c) for c in ("checks", "gold", "pred", "clean", "final")], true, true, true, ~true)
-    return _checked(t).select("l_orderkey", reward.alias("s")).select("l_orderkey", "s.kind", F.round("s.quality", 6).alias("quality"), "s.reward")
+    return _checked(t, "name", "graded").select("l_orderkey", reward.alias("s")).select("l_orderkey", "s.kind", F.round("s.quality", 6).alias("quality"), "s.reward")
 
 
 @query(f"""WITH {_TURNS}, x AS (SELECT p.l_orderkey, p.pos, CAST(regexp_extract(p.r, '([0-9]+)', 1) AS INTEGER) >= p.pos AS late, p.r LIKE '$%' AS is_ref, p.r = g.r AS same FROM p JOIN g USING (l_orderkey, pos)),
@@ -131,7 +131,7 @@ def curriculum_reward(t: Tables) -> DataFrame:
     """Eight components and their sum."""
     labels = F.transform("pred", lambda c, i: F.concat(F.lit("$var_"), (i + 1).cast("string")))
     parts = tr.curriculum_components(F.col("checks"), F.col("gold"), F.col("pred"), labels, F.lit(True), F.col("final"))
-    return _checked(t).select("l_orderkey", parts.alias("s")).select("l_orderkey", *_rounded(*[f"s.{c}" for c in ("format", "count", "name", "keys", "values", "references", "total")]))
+    return _checked(t, "there", "name", "values", "shared", "n").select("l_orderkey", parts.alias("s")).select("l_orderkey", *_rounded(*[f"s.{c}" for c in ("format", "count", "name", "keys", "values", "references", "total")]))
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT l_orderkey, avg(CAST(name <> 'X' AS INTEGER)) AS known, avg(CAST(name <> 'X' AND x IS NULL AS INTEGER)) AS keys,
