@@ -43,3 +43,13 @@ def test_roles_manifest_and_cache(spark):
     assert files.manifest(df, "sample_id").first() == files.manifest(df.repartition(3), "sample_id").first()
     cache = spark.createDataFrame([(1, 1, "old"), (1, 2, "new")], "sample_id long, at long, v string")
     assert {r.sample_id: r.v for r in files.from_cache(df, cache, "sample_id", "at").select("sample_id", F.col("cached.v").alias("v")).collect()} == {1: "new", 2: None}
+
+
+def test_content_is_dealt_out_in_parts_of_a_size(spark, sf, monkeypatch):
+    """A fixed number of parts would grow with the table."""
+    from tracelake.plans import registry, sourced
+
+    seen, write = [], sourced.files.manifest
+    monkeypatch.setattr(sourced.files, "manifest", lambda df, key: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, key))[1])
+    assert registry.QUERIES["content_manifest"](spark, sf).first().same
+    assert any("RebalancePartitions" in plan for plan in seen) and not any("RepartitionByExpression" in plan for plan in seen)
