@@ -36,3 +36,20 @@ def test_rules(spark):
     assert errors(spark, "Sort the list and lookup the record of it", ["select_record"]) == ["list_keywords_without_list_tools"]
     assert errors(spark, "Check whether the uppercase text is so", ["add"], True) == ["string_keywords_without_string_tools", "boolean_keywords_without_boolean_tools", "math_trace_with_non_math_wording"]
     assert errors(spark, "Check whether the uppercase text is so", ["contains_substring"]) == []
+
+
+def test_best_assignment_with_and_without_unlike_best_columns(spark):
+    """Against all permutations: rows whose best columns clash, ties and nulls among them."""
+    import itertools
+    import random
+
+    from tracelake.functions import assignment
+
+    rng, rows = random.Random(8), []
+    for i in range(200):
+        m = rng.randrange(1, 6)
+        rows.append((i, [[rng.choice([None, 0.0, 0.25, 0.5, 1.0]) if i % 4 == 0 else rng.choice([0.0, 0.25, 0.5, 1.0]) for _ in range(m)] for _ in range(rng.randrange(1, m + 1))]))
+    got = {r.id: r.best for r in spark.createDataFrame(rows, "id long, s array<array<double>>").select("id", assignment.best_assignment(F.col("s")).alias("best")).collect()}
+    for i, s in rows:
+        sums = [sum(r[j] for r, j in zip(s, p)) for p in itertools.permutations(range(len(s[0])), len(s)) if all(r[j] is not None for r, j in zip(s, p))]
+        assert got[i] == (max(sums) if sums else None)
