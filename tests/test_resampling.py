@@ -221,6 +221,25 @@ def test_call_accuracy_has_argument_names(spark, sf):
     assert len({round(v, 3) for v in got.values()}) > 5
 
 
+def test_call_accuracy_makes_no_list_of_all_pairs(spark, sf):
+    rng = random.Random(5)
+    call = lambda: (rng.choice("ab"), {k: rng.choice(["1", "1.0", "1.50", "1.5", "x y", "xy"]) for k in rng.sample("xyz", rng.randint(0, 3))})
+    rows = [(i, [call() for _ in range(rng.randint(0, 24))], [call() for _ in range(rng.randint(0, 24))]) for i in range(12)]
+    df = spark.createDataFrame(rows, "i int, gold array<struct<name:string,args:map<string,string>>>, pred array<struct<name:string,args:map<string,string>>>")
+    out = df.select("i", assignment.call_accuracy(F.col("gold"), F.col("pred")).alias("a"))
+    # strict9: texts of one form without white space; two forms of one number are equal if both have a point.
+    form = lambda v: {"1.50": "1.5", "x y": "xy"}.get(v, v)
+    plain = lambda calls: [(n, {k: form(v) for k, v in args.items()}) for n, args in calls]
+    assert {r.i: r.a for r in out.collect()} == {i: pytest.approx(slow_accuracy(plain(g), plain(p))) for i, g, p in rows}
+    # A prediction that is used is not looked at again, so nothing is listed and sorted for each gold call.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "flatten" not in plan
+    from tracelake.plans import resampled
+
+    shuffled = resampled._calls(registry.Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+    assert "map" not in shuffled and "supplier" not in shuffled
+
+
 def slow_alignment(g, p):
     if len(g) == len(p):
         return sum(a == b for a, b in zip(g, p, strict=True)) / len(g) if g else 1.0

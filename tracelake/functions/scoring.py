@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,22 +99,31 @@ def call_score(name: Column, shared: Column, n_pred_keys: Column, n_gold_keys: C
     return 0.2 * name.cast("double") + 0.3 * keys + 0.5 * values
 
 
-def greedy_assignment(scores: Column, n_gold: Column, n_pred: Column) -> Column:
-    """Sum over gold positions, in order, of the best unused prediction's score; ties go to the first, 0 never matches.
+def greedy_assignment(gold: Column, pred: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """Mean over gold calls, in order, of the best unused prediction's ``score`` of at most 1; ties go to the first, 0 never matches.
 
-    ``scores`` is an array of (gold, pred, score) of one row's calls, positions from 0.
+    Less for predictions beyond the number of gold calls.  What is used is not scored again, nor what comes after a score of 1.
     """
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    n_gold, n_pred = F.size(gold), F.size(pred)
+    # States are small: what a lambda returns is copied.
     start = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<int>").alias("used"))
+    none = F.struct(F.lit(0.0).alias("best"), F.lit(-1).alias("at"), F.lit(0).alias("j"))
+    state = lambda best, at, j: F.struct(best.alias("best"), at.alias("at"), (j + 1).alias("j"))
+
+    def step(taken: Column, g: Column) -> Column:
+        def better(s: Column, p: Column) -> Column:
+            same = state(s["best"], s["at"], s["j"])
+            scored = bind(score(g, p), lambda x: F.when(x > s["best"], state(x, s["j"], s["j"])).otherwise(same))
+            return F.when((s["best"] >= 1) | F.array_contains(taken["used"], s["j"]), same).otherwise(scored)
+
+        def take(found: Column) -> Column:
+            more = F.struct((taken["total"] + found["best"]).alias("total"), F.array_append(taken["used"], found["at"]).alias("used"))
+            return F.when(found["best"] > 0, more).otherwise(taken)
 
-    def step(state: Column, gold: Column) -> Column:
-        free = F.filter(scores, lambda s: (s["gold"] == gold) & (s["score"] > 0) & ~F.array_contains(state["used"], s["pred"]))
-        best = F.get(F.array_sort(F.transform(free, lambda s: F.struct((-s["score"]).alias("neg"), s["pred"].alias("pred")))), F.lit(0))
-        return F.when(best.isNull(), state).otherwise(
-            F.struct((state["total"] - best["neg"]).alias("total"), F.array_append(state["used"], best["pred"]).alias("used"))
-        )
+        return bind(F.aggregate(pred, none, better), take)
 
-    golds = F.when(n_gold > 0, F.sequence(F.lit(0), n_gold - 1)).otherwise(F.array().cast("array<int>"))
-    base = F.aggregate(golds, start, step, lambda s: s["total"])
+    base = F.aggregate(gold, start, step, lambda s: s["total"])
     extra = F.greatest(F.lit(0), n_pred - n_gold)
     return (
         F.when(n_gold == 0, F.when(n_pred == 0, 1.0).otherwise(0.0)).when(n_pred == 0, 0.0)

@@ -132,8 +132,7 @@ def call_accuracy(t: Tables) -> DataFrame:
     def score(g: Column, p: Column) -> Column:
         return scoring.call_score(g["name"] == p["name"], F.lit(1), F.lit(1), F.lit(1), (g["value"] == p["value"]).cast("int"))
 
-    scores = F.flatten(F.transform("gold", lambda g, i: F.transform("pred", lambda p, j: F.struct(i.alias("gold"), j.alias("pred"), score(g, p).alias("score")))))
-    return pairs.select("l_orderkey", F.round(scoring.greedy_assignment(scores, F.size("gold"), F.size("pred")), 9).alias("accuracy"))
+    return pairs.select("l_orderkey", F.round(scoring.greedy_assignment(F.col("gold"), F.col("pred"), score), 9).alias("accuracy"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, bool_or(l_returnflag = 'A') AS final, count_if(l_discount < 0.09) * 1.0 / count(*) AS executable, count_if(l_linestatus = 'O') * 1.0 / count(*) AS complete,

@@ -58,10 +58,11 @@ def percentiles_at_size(t: Tables) -> DataFrame:
 
 def _calls(t: Tables) -> DataFrame:
     """An order's lines as calls in their order, and its lines by price as predictions, of which a third lack the last and a tenth repeat one."""
-    call = F.struct(F.concat("l_returnflag", "l_linestatus").alias("name"), F.create_map(F.lit("line"), F.col("l_quantity").cast("string"), F.concat(F.lit("supplier"), F.col("l_suppkey") % 3), F.col("l_suppkey").cast("string")).alias("args"))
-    held = F.struct(*LINE_ORDER, "l_quantity", "l_extendedprice", F.struct(call["name"].alias("name"), F.map_entries(call["args"]).alias("args")).alias("call"))
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(held)).alias("lines"))
-    plain = lambda lines: F.transform(lines, lambda x: F.struct(x["call"]["name"].alias("name"), F.map_from_entries(x["call"]["args"]).alias("args")))
+    name = F.concat("l_returnflag", "l_linestatus").alias("name")
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "l_quantity", "l_extendedprice", name))).alias("lines"))
+    args = lambda x: F.create_map(F.lit("line"), x["l_quantity"].cast("string"), F.concat(F.lit("supplier"), x["l_suppkey"] % 3), x["l_suppkey"].cast("string"))
+    # Calls are made after the shuffle, which carries the columns that they come of.
+    plain = lambda lines: F.transform(lines, lambda x: F.struct(x["name"].alias("name"), args(x).alias("args")))
     by_price = F.transform(F.array_sort(F.transform("lines", lambda x: F.struct(x["l_extendedprice"].alias("p"), x.alias("x")))), lambda y: y["x"])
     n = F.size("lines")
     short = F.when(F.col("l_orderkey") % 3 == 0, F.slice(by_price, 1, F.greatest(n - 1, F.lit(0)))).when(F.col("l_orderkey") % 10 == 1, F.concat(F.slice(by_price, 1, n - 1), F.slice(by_price, 1, 1))).otherwise(by_price)
