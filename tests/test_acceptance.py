@@ -55,6 +55,23 @@ def test_caps_are_one_walk_however_the_stream_is_cut(spark, batches):
     assert {r.id: r.reason for r in got} == slow_walk(plain(rows), RULES, ["score", "kind", "tier"])
 
 
+def test_a_large_stage_comes_in_more_batches(spark, monkeypatch):
+    monkeypatch.setattr(acc, "AT_ONCE", 20)
+    batches, judge = [], acc.judge_new
+    monkeypatch.setattr(acc, "judge_new", lambda *a: (batches.append(1), judge(*a))[1])
+    rows = some(150)
+    df = spark.createDataFrame(rows, CANDIDATES)
+    part, placed, parts = acc.parts_of(df, "stage", "id", 2)
+    held = placed.groupBy("stage", part.alias("part")).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).orderBy("stage", "part").collect()
+    # 71 and 70 rows of a and b, 9 without a stage.
+    assert sum(r.n for r in held) == 150 and max(r.n for r in held) <= 22 and parts == 4
+    assert all(a.last < b.first for a, b in zip(held, held[1:], strict=False) if a.stage == b.stage)
+    got = acc.judged_in_batches(df, "stage", "id", RULES, 2).collect()
+    assert len(batches) == 4 and len(got) == 150
+    assert {r.id: r.reason for r in got} == slow_walk(plain(rows), RULES, ["score", "kind", "tier"])
+    assert acc.judged_in_batches(df.where("false"), "stage", "id", RULES, 2).count() == 0
+
+
 def test_caps_go_on_from_an_earlier_run(spark):
     first, rows = some(60), some(60, 60)
     earlier = acc.judged_in_batches(spark.createDataFrame(first, CANDIDATES), "stage", "id", RULES, 1).where("reason is null")

@@ -8,13 +8,14 @@ read in from an earlier run and can be forgotten after a while.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -175,6 +176,15 @@ class Ledger:
     def has(self, run: str, batch: int) -> bool:
         return self.holds(f"ledger/{run}-{batch}.json")
 
+    def arrive(self, made: str, name: str) -> bool:
+        """Rename a folder to where a stream looks for it; whether there is one."""
+        if not self.holds(made):
+            return False
+        self._fs.mkdirs(self._path(name).getParent())
+        if not self._fs.rename(self._path(made), self._path(name)):
+            raise OSError(f"{name} is there already")
+        return True
+
     def commit(self, entry: dict) -> None:
         """Add a batch to the record."""
         self._fs.mkdirs(self._path("ledger"))
@@ -294,18 +304,46 @@ def judge_new(spark: SparkSession, schema, inbox: str, by: str, order: str, rule
     return judged
 
 
-def judged_in_batches(table: DataFrame, by: str, order: str, rules: list[Rule], batches: int, seed: DataFrame | None = None) -> DataFrame:
-    """Run ``running_verdicts`` over a table that comes in ``batches`` of rising ``order``; returns the log.
+#: Candidates of a stage that one micro-batch judges, about: they are walked over in one task, whose Python holds them all.
+AT_ONCE = 1_000_000
 
-    The query ends after every batch and starts again from its checkpoint.
+
+def parts_of(table: DataFrame, by: str, order: str, batches: int = 1, at_once: int | None = None) -> tuple[Column, DataFrame, int]:
+    """(part, table, parts): the number of the batch that a row of ``table`` comes in, rising with ``order`` inside each ``by``.
+
+    Batches share the table evenly; a stage that has more than ``at_once`` rows for each is dealt out by itself to as many more as
+    it takes.  Rows of equal ``order`` stay together.
     """
-    spark, folder = table.sparkSession, new_path(table.sparkSession, "judged")
+    at_once = at_once or AT_ONCE
     cuts = table.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     part = F.lit(0)
     for cut in cuts:
         part = part + (F.col(order) > cut).cast("int")
+    large = table.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n")).where(F.col("__n") > batches * at_once)
+    most = large.agg(F.max("__n")).first()[0]
+    if most is None:
+        return part, table, batches
+    parts = math.ceil(most / at_once)
+    own = F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts).alias("__cuts")
+    # There are fewer large stages than rows / at_once, and a stage has as many cuts as parts.
+    meets = F.col(by).eqNullSafe(F.col("__by"))
+    held = table.join(F.broadcast(large.select("__by")), meets).groupBy("__by").agg(own)
+    placed = table.join(F.broadcast(held), meets, "left")
+    return F.when(F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", lambda c: c < F.col(order)))).otherwise(part), placed, parts
+
+
+def judged_in_batches(table: DataFrame, by: str, order: str, rules: list[Rule], batches: int, seed: DataFrame | None = None) -> DataFrame:
+    """Run ``running_verdicts`` over a table that comes in ``batches`` of rising ``order``, or more if stages are large; returns the log.
+
+    The query ends after every batch and starts again from its checkpoint.
+    """
+    spark, folder = table.sparkSession, new_path(table.sparkSession, "judged")
+    part, placed, parts = parts_of(table, by, order, batches)
+    # The table is read once, and each part comes in by a rename.
+    placed.select(part.alias("__part"), *table.columns).write.partitionBy("__part").parquet(f"{folder}/made")
     ledger, judged = Ledger(spark, f"{folder}/log"), None
-    for number in range(batches):
-        table.where(part == number).write.parquet(f"{folder}/in/{number:06d}")
+    for number in range(parts):
+        if not ledger.arrive(f"../made/__part={number}", f"../in/{number:06d}"):
+            table.limit(0).write.parquet(f"{folder}/in/{number:06d}")
         judged = judge_new(spark, table.schema, f"{folder}/in", by, order, rules, ledger, "run", f"{folder}/marks", seed)
     return ledger.table(judged.schema)
