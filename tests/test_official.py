@@ -72,3 +72,15 @@ def test_registered_score(spark, sf):
     got = [row[c] for c in ("n", "partial", "full", "win_rate", "precision_name", "recall_name", "f1_name", "precision_slot", "recall_slot", "f1_slot")]
     assert got == pytest.approx(slow_score(rows), abs=2e-9)
     assert 0 < row.f1_slot < 1 and 0 < row.partial < 1
+
+
+def test_rows_are_read_once(spark, sf):
+    plan = registry.QUERIES["official_score"](spark, sf)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
+
+
+def test_odd_rows(spark):
+    rows = [(None, [("a", [("x", "1")])], True), ([("a", [("x", None), ("x", None)])], None, None), ([("a", [("x", "1")]), ("b", []), ("a", [("y", "2")])], [("a", [("x", "1")]), ("a", [("y", "2")])], False), (None, None, True)]
+    row = official.official_score(spark.createDataFrame(rows, f"gold {CALLS}, pred {CALLS}, won boolean"), "gold", "pred", F.col("won")).first()
+    got = [row[c] for c in ("n", "partial", "full", "win_rate", "precision_name", "recall_name", "f1_name", "precision_slot", "recall_slot", "f1_slot")]
+    assert got == pytest.approx(slow_score([(g or [], p or [], w) for g, p, w in rows]))

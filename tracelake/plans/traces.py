@@ -40,25 +40,30 @@ w AS (SELECT s.*, back * 1.0 / nullif(refs, 0) AS refs, coalesce(ran, 0) AS ran
 
 def traces(t: Tables) -> DataFrame:
     """(l_orderkey, gold, pred, clean, final)."""
-    ordered = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax")))
-    rows = t.lineitem.groupBy("l_orderkey").agg(ordered.alias("calls"), (F.sum(F.col("l_quantity").cast("int")) % 3 != 0).alias("final"))
-    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
-    given = lambda *e: F.filter(F.array(*e), lambda x: x["v"].isNotNull())
-
-    def both(x: Column, i: Column) -> Column:
-        name, d, q = F.concat(x["l_returnflag"], x["l_linestatus"]), F.round(x["l_discount"] * 100).cast("int"), x["l_quantity"].cast("int")
-        ref = F.when((i > 0) & (x["l_partkey"] % 3 == 0), F.concat(F.lit("$var_"), i.cast("string"), F.lit(".result$")))
-        altered = F.when(ref.isNotNull() & (x["l_suppkey"] % 6 == 0), F.lit("1")).otherwise(ref)
-        extra = F.when(x["l_partkey"] % 17 == 0, F.lit("0"))
-        wrong_q = F.when(x["l_suppkey"] % 5 == 0, q + 1).otherwise(q)
-        gold = F.struct(name.alias("name"), given(entry("d", d), entry("q", q), entry("r", ref)).alias("args"))
-        args = given(entry("d", F.when(x["l_partkey"] % 13 != 0, d)), entry("q", wrong_q), entry("r", altered), entry("x", extra))
-        pred = F.struct(F.when(x["l_suppkey"] % 7 == 0, "X").otherwise(name).alias("name"), args.alias("args"))
-        return F.struct(gold.alias("gold"), pred.alias("pred"), (x["l_partkey"] % 11 != 0).alias("kept"), (x["l_tax"] < 0.08).alias("clean"))
-
-    pairs = rows.select("l_orderkey", "final", F.transform("calls", both).alias("c"))
-    kept = F.filter("c", lambda x: x["kept"])
-    return pairs.select("l_orderkey", F.transform("c", lambda x: x["gold"]).alias("gold"), F.transform(kept, lambda x: x["pred"]).alias("pred"), F.transform(kept, lambda x: x["clean"]).alias("clean"), "final")
+    supp, name = F.col("l_suppkey"), F.concat("l_returnflag", "l_linestatus")
+    d, q, called = F.round(F.col("l_discount") * 100).cast("int"), F.col("l_quantity").cast("int"), F.when(supp % 7 == 0, "X").otherwise(name)
+    line = F.struct(*LINE_ORDER, "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax", d.alias("d"), q.alias("q"), name.alias("name"), called.alias("called"))
+    lines = t.lineitem.select("l_orderkey", line.alias("line"))
+    rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("calls"), (F.sum("line.q") % 3 != 0).alias("final"))
+    refers = lambda x, i: (i > 0) & (x["l_partkey"] % 3 == 0)
+    label = lambda i: F.concat(F.lit("$var_"), i.cast("string"), F.lit(".result$"))
+    kept = lambda x: x["l_partkey"] % 11 != 0
+
+    def given(**values: Column) -> Column:
+        keys, vals = F.array(*map(F.lit, values)), F.array(*[v.cast("string") for v in values.values()])
+        return F.filter(F.arrays_zip(keys.alias("k"), vals.alias("v")), lambda e: e["v"].isNotNull())
+
+    def gold(x: Column, i: Column) -> Column:
+        return given(d=x["d"], q=x["q"], r=F.when(refers(x, i), label(i)))
+
+    def pred(x: Column, i: Column) -> Column:
+        altered = F.when(refers(x, i), F.when(x["l_suppkey"] % 6 == 0, F.lit("1")).otherwise(label(i)))
+        wrong_q = F.when(x["l_suppkey"] % 5 == 0, x["q"] + 1).otherwise(x["q"])
+        return F.when(kept(x), given(d=F.when(x["l_partkey"] % 13 != 0, x["d"]), q=wrong_q, r=altered, x=F.when(x["l_partkey"] % 17 == 0, F.lit("0"))))
+
+    named = lambda field, args: F.arrays_zip(F.col(f"calls.{field}").alias("name"), F.transform("calls", args).alias("args"))
+    preds = F.filter(named("called", pred), lambda c: c["args"].isNotNull())
+    return rows.select("l_orderkey", named("name", gold).alias("gold"), preds.alias("pred"), F.transform(F.filter("calls", kept), lambda x: x["l_tax"] < 0.08).alias("clean"), "final")
 
 
 def _checked(t: Tables, *fields: str) -> DataFrame:
