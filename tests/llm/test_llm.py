@@ -213,6 +213,30 @@ def test_embedding_links_against_all_pairs(spark):
     assert embedding_dedup.embedding_links(table.where("false")).count() == 0
 
 
+def test_pairs_of_blocks_carry_names_and_each_tree_is_written_once(spark, monkeypatch):
+    """Spread vectors, so that all pairs of blocks are compared: what is written grows with the blocks, not with their pairs."""
+    met, plans = {}, {}
+    write = embedding_dedup.materialize
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return met.setdefault(name, write(df, name))
+
+    monkeypatch.setattr(embedding_dedup, "materialize", kept)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16).astype(np.float32)]) for i in range(400)]
+    rows += [(400 + i, rows[i][1][:15] + [rows[i][1][15] + 0.1]) for i in range(0, 400, 40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(table, block_rows=40, max_pivots=4).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert list(out[i] for i, _ in rows) == [int(n) - 1 for n in (x @ x.T >= 0.95).sum(axis=1)]
+    n = met["emb_trees"].count()
+    assert n >= 8 and met["emb_pairs"].count() > 2 * n
+    assert not [f for f in met["emb_trees"].schema if f.dataType.typeName() == "binary"]
+    assert "tree" not in plans["emb_links"].replace("emb_trees", "")
+
+
 # 4: URL lists
 
 
